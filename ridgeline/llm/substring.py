@@ -254,7 +254,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) ->
     if not unique:
         rows = materialize(rows.withColumn("own", F.monotonically_increasing_id()))
         names, rows = rows.select("own", "doc_id"), rows.select(F.col("own").alias("doc_id"), "text")
-    found = rows.mapInArrow(_pieces(window, rounds), "doc_id long, piece long, anchor long, span long")
+    found = materialize(rows.mapInArrow(_pieces(window, rounds), "doc_id long, piece long, anchor long, span long"))
     anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("span").alias("lo"), F.max("span").alias("hi"))
     anchors = materialize(anchors.filter("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("contested")))
     shared = materialize(found.join(anchors, "anchor"))
