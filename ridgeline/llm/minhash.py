@@ -23,6 +23,8 @@ BANDS, ROWS = 40, 6
 CIRCLE = 1 << 20
 #: One-bit sketches of a pair at the threshold differ in 24 of 240 places, give or take 4.6; a pair beyond 52 is not verified.
 SKETCH_BITS, SKETCH_APART = 240, 52
+#: Sets of each side that meet in one task of the exact comparison.
+BLOCK = 1024
 _SIGMA = np.uint64(0xA24BAED4963EE407)
 
 FINGERPRINT = "doc_id long, n_shingles long, key binary, bands array<long>, sketch array<long>"
@@ -108,18 +110,21 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [s.tobytes() for s in shingle_sets(batch.column(1), words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.large_binary()).cast(pa.binary())], names=["id", "shingles"])
+            found = list(shingle_sets(batch.column(1), words))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, found), pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "n", "shingles"])
 
     return run
 
 
+def _shingles(column: pa.Array) -> Iterator[np.ndarray]:
+    return (np.frombuffer(v.as_buffer(), np.uint64) for v in column)
+
+
 def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            for x, y in zip(_shingles(batch.column(2)), _shingles(batch.column(3)), strict=True):
                 both = np.sort(np.concatenate((x, y)), kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
@@ -128,14 +133,10 @@ def _verified(percent: int):
     return run
 
 
-def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of document ids whose whole sets are as similar as asked."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
-    sets = wanted.mapInArrow(_sets(words), "id long, shingles binary")
-    sets = materialize(sets)
-    a = sets.withColumnsRenamed({"id": "a", "shingles": "x"})
-    b = sets.withColumnsRenamed({"id": "b", "shingles": "y"})
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) of ids whose whole sets are as similar as asked."""
+    a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
+    b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long")
 
 
@@ -173,8 +174,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     1. Rows with equal sets form one class, named by its smallest doc_id; a class of copies is handled once, however large.
     2. Classes that share a band are candidates. In each bucket every member is first verified against three
        representatives (smallest id, and the extremes of a hash), which is linear in the bucket and joins groups of near copies.
-    3. In the buckets whose members are not of one component by then, every pair of different components is verified
-       that its sizes and sketches allow. No pair of a bucket is left out, no bucket is capped.
+    3. In buckets whose members are not of one component by then, all pairs of different components are compared, in blocks of sets that
+       return links only. No pair of a bucket is left out, no bucket is capped.
     Empty sets (no words, null text) and rows without doc_id are linked with nothing; the latter get a null component_id and are kept.
     Rows that share a doc_id are one document with several texts. Other columns of docs are not read.
     """
@@ -190,20 +191,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     buckets = materialize(buckets.filter("r0 <> last").drop("last"))
     shared = materialize(members.join(buckets, "band"))
     facts = materialize(reps.drop("bands").join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
+    # the texts of whoever has a candidate move once, at any size by the same kind of join
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").hint("merge").join(facts.select("id"), "id", "left_semi")
+    sets = materialize(texts.mapInArrow(_sets(words), "id long, n long, shingles binary"))
     stars = shared.select(F.col("id"), F.explode(F.array_distinct(F.array("r0", "r1", "r2"))).alias("r")).filter("id <> r")
     stars = stars.select(F.least("id", "r").alias("a"), F.greatest("id", "r").alias("b")).distinct()
     tested = materialize(_possible(stars, facts, percent))
-    links = materialize(verify(tested, docs, words, percent))
-    labels = components(links)
-    placed = shared.select("band", "id").join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
-    placed = materialize(placed)
-    split = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("band")
-    rest = materialize(placed.join(materialize(split), "band"))
-    x, y = (rest.select("band", F.col("id").alias(i), F.col("c").alias(f"c{i}")) for i in "ab")
-    more = x.join(y, "band").filter("a < b AND ca <> cb").select("a", "b").distinct()
-    more = _possible(more, facts, percent).join(tested, ["a", "b"], "left_anti")
-    more = materialize(verify(materialize(more), docs, words, percent))
-    labels = components(more, labels)
+    labels = components(verify(tested, sets, percent))
+    placed = materialize(shared.select("band", "id").join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component")))
+    labels = components(_across(placed, sets, percent), labels)
     named = classes.join(labels, "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))
     # rows of one doc_id with several texts are in the component of the smallest
     named = materialize(named)
@@ -212,6 +208,47 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components within the buckets of placed (band, id, component).
+
+    A bucket goes to the group of its largest component, so the many buckets of a group of near copies are one group and a set moves once for it. In a group, sets
+    of other components are compared to all; both sides are dealt out in blocks, so no task holds a group.
+    """
+    per = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
+    top = per.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("kinds")).filter("kinds > 1")
+    top = materialize(top.select("band", F.col("top.component").alias("g")))
+    met = materialize(placed.join(top, "band").select("g", "id", "component").distinct())
+    blocks = met.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("all"), F.ceil(F.sum((F.col("component") != F.col("g")).cast("int")) / BLOCK).cast("int").alias("others"))
+    rows = materialize(met.join(blocks, "g")).join(sets.select("id", "shingles"), "id")
+    spread = lambda over: F.pmod(F.xxhash64("id"), F.col(over)).cast("int")
+    every = lambda over: F.explode(F.sequence(F.lit(0), F.col(over) - 1))
+    key = ["g", "i", "j"]
+    own = [F.col(c).alias(c) for c in ("id", "component", "shingles")]  # new columns, as both sides come from one table
+    x = rows.filter("component <> g").select(F.col("g").alias("g"), spread("others").alias("i"), every("all").alias("j"), *own)
+    y = rows.select(F.col("g").alias("g"), every("others").alias("i"), spread("all").alias("j"), *own)
+
+    def compare(key, x: pa.Table, y: pa.Table) -> pa.Table:
+        links: list[tuple[np.ndarray, np.ndarray]] = []
+        if len(x) and len(y):
+            a, b = list(_shingles(x["shingles"])), list(_shingles(y["shingles"]))
+            codes, sizes = np.unique(np.concatenate(b), return_inverse=True), np.array([len(s) for s in b])
+            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            known, codes = codes
+            ids, others = y["id"].to_numpy(), y["component"].to_numpy()
+            for s, own, component in zip(a, x["id"].to_numpy(), x["component"].to_numpy(), strict=True):
+                at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                held = np.zeros(len(known), bool)
+                held[at[known[at] == s]] = True
+                shared = np.add.reduceat(held[codes], starts, dtype=np.int64)
+                near = (100 * shared >= percent * (len(s) + sizes - shared)) & (others != component)
+                if near.any():
+                    links.append((np.minimum(ids[near], own), np.maximum(ids[near], own)))
+        a, b = (np.concatenate(c) for c in zip(*links, strict=True)) if links else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return x.groupBy(*key).cogroup(y.groupBy(*key)).applyInArrow(compare, "a long, b long")
+
+
 def _possible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that sizes and sketches do not rule out."""
     a, b = (facts.select(F.col("id").alias(i), *[F.col(c).alias(f"{i}_{c}") for c in ("n", "s0", "s1", "s2", "s3")]) for i in "ab")
