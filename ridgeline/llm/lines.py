@@ -14,6 +14,7 @@ RATIO, LEAST_PAGES = 0.05, 5
 HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>"
 BREAKS = r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|main|aside|body|html|blockquote|pre|td|th|figure|figcaption|hr|form|dl|dt|dd)\b[^>]*>"
 TAG = r"<[^>]*>"
+SPACES = r"[ \t\r\f]{2,}|[\t\r\f]"
 HOST = r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
@@ -27,7 +28,7 @@ def html_lines(html: Column) -> Column:
     text = F.regexp_replace(html, HIDDEN, " ")
     text = F.regexp_replace(text, BREAKS, "\n")
     text = F.regexp_replace(text, TAG, "")
-    text = F.regexp_replace(text, r"[ \t\r\f]+", " ")
+    text = F.regexp_replace(text, SPACES, " ")
     return F.regexp_replace(F.regexp_replace(text, r"(?: ?\n ?)+", "\n"), r"^[\n ]+|[\n ]+$", "")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm import ann, langid, licenses, lines, media, minhash, mixing, pieces, substring, toxicity
+from ridgeline.llm._store import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -56,7 +57,8 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", lines.host(F.col("url")).alias("host"), lines.html_lines(F.col("html")).alias("text"))
-    return lines.drop_boilerplate(pages, "host", "text").select("page_id", "host", "n_lines", "n_dropped", "text")
+    # the text is read twice, for the frequencies and for the lines that stay, and found once
+    return lines.drop_boilerplate(materialize(pages), "host", "text").select("page_id", "host", "n_lines", "n_dropped", "text")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +114,7 @@ FROM d LEFT JOIN g USING (doc_id)"""
 
 OP9 = rf"""
 WITH p AS (SELECT page_id, nullif(lower(regexp_extract(url, '{lines.HOST}', 1)), '') AS host,
-  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '{lines.HIDDEN}', ' ', 'g'), '{lines.BREAKS}', chr(10), 'g'), '{lines.TAG}', '', 'g'), '[ \t\r\f]+', ' ', 'g'), '(?: ?\n ?)+', chr(10), 'g'), '^[\n ]+|[\n ]+$', '', 'g') AS text FROM pages),
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '{lines.HIDDEN}', ' ', 'g'), '{lines.BREAKS}', chr(10), 'g'), '{lines.TAG}', '', 'g'), '{lines.SPACES}', ' ', 'g'), '(?: ?\n ?)+', chr(10), 'g'), '^[\n ]+|[\n ]+$', '', 'g') AS text FROM pages),
 q AS (SELECT *, string_split(text, chr(10)) AS l FROM p),
 f AS (SELECT host, unnest(list_distinct(l)) AS line FROM q WHERE host IS NOT NULL),
 n AS (SELECT host, count(*) AS pages FROM p WHERE host IS NOT NULL GROUP BY host),
