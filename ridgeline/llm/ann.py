@@ -17,7 +17,7 @@ CENTROIDS, SAMPLE_ROWS, ROUNDS = 32, 20_000, 10
 #: such index; with 0.6 the share of true neighbours found is 0.95 to 0.97 there. Vectors with structure need far less.
 PROBE_SHARE, PROBE_LEAST = 0.6, 4096
 #: Rows and queries that meet in one task at a time, about; cells beyond it are split.
-SHARD_ROWS, SHARD_QUERIES = 8192, 2048
+SHARD_ROWS, SHARD_QUERIES = 2048, 2048
 NEAREST = 20
 
 
