@@ -5,6 +5,7 @@ Every function works on all bytes of a text. A null text counts as an empty one
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,7 +19,7 @@ BASE_INVERSE = U64(pow(int(BASE), -1, 1 << 64))
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
 #: Texts of a batch are worked on in slices of about so many bytes, which bounds a worker's memory.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -44,17 +45,31 @@ def slices(at: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         first = min(last, n)
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, BASE, U64), np.full(n, BASE_INVERSE, U64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
+_POWERS: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse, modulo 2**64, at least n of each."""
-    size = 1 << max(16, (n - 1).bit_length())
-    return _powers(size)
+    """Powers of BASE and of its inverse, modulo 2**64, at least n of each; one pair of arrays for the process."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        up, down = np.full(size, BASE, U64), np.full(size, BASE_INVERSE, U64)
+        up[0] = down[0] = 1
+        _POWERS[:] = np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
+    return _POWERS[0], _POWERS[1]
+
+
+@lru_cache(maxsize=1)
+def _allocator():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda _: 0
+
+
+def release() -> None:
+    """Give memory that a batch has freed back to the system, so that idle workers do not hold it."""
+    pa.default_memory_pool().release_unused()
+    _allocator()(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -121,11 +136,14 @@ def append(docs, text: str, added: str, function):
 
     new = StructType.fromDDL(added)
     docs = docs.drop(*new.names)
-    packed = docs.select(F.struct("*").alias("row"), docs[text].cast("string").alias("text"))
+    row = "_row" if "_row" not in docs.columns else "_row_of_all"
+    packed = docs.select(F.struct("*").alias(row))
+    place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), *function(batch.column(1))], names=["row", *new.names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *function(batch.column(0).field(place))], names=[row, *new.names])
+            release()
 
-    schema = StructType([packed.schema["row"], *new.fields])
-    return packed.mapInArrow(run, schema).select("row.*", *new.names)
+    schema = StructType([packed.schema[row], *new.fields])
+    return packed.mapInArrow(run, schema).select(f"{row}.*", *new.names)

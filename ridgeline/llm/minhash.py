@@ -94,6 +94,7 @@ def _fingerprints(words: int):
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), _lists(band_keys(minima)), _lists(bits.view(np.int64))],
                 names=["doc_id", "n_shingles", "key", "bands", "sketch"],
             )
+            _text.release()
 
     return run
 

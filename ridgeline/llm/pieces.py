@@ -16,11 +16,11 @@ from ridgeline.llm import _text
 SPACE = "▁"
 #: Path of the vocabulary file; never a part of the repository.
 DEFAULT_MODEL = os.environ.get("PIECES_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 #: Leading bits of a hash that tell most substrings from all pieces before the search among sorted keys.
 SIEVE_BITS = 20
 #: Words of one length that advance together at most.
-TOGETHER = 1 << 14
+TOGETHER = 1 << 13
 NONE = np.int64(-1)
 
 
@@ -236,8 +236,8 @@ class Encoder:
         total = 0
         for length in np.unique(sizes[example]):
             own = np.flatnonzero(sizes[example] == length)
-            for low in range(0, len(own), max(1, min(TOGETHER, (1 << 20) // int(length)))):
-                some_words = own[low : low + max(1, min(TOGETHER, (1 << 20) // int(length)))]
+            for low in range(0, len(own), max(1, min(TOGETHER, (1 << 18) // int(length)))):
+                some_words = own[low : low + max(1, min(TOGETHER, (1 << 18) // int(length)))]
                 found, counts = self.words(points[first[example[some_words]][:, None] + np.arange(length)])
                 flat, counts = self._bytes(found[found != NONE], counts)
                 lengths[some_words] = counts

@@ -186,6 +186,7 @@ def _pieces(window: int, rounds: int):
             for a, tokens, begin in _slices(batch):
                 row, at, sizes, anchor, span = pieces(tokens, begin, window, rounds)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + a)), pa.array(at * 64 + sizes), pa.array(_text.signed(anchor)), pa.array(_text.signed(span))], names=["doc_id", "piece", "anchor", "span"])
+            _text.release()
 
     return run
 
