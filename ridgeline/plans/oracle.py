@@ -1,5 +1,91 @@
-"""Oracle SQL."""
+"""The same queries in DuckDB's SQL. kernel_sgd has none: over the whole table SQL takes minutes; tests hold it against a plain fold."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+E = "e AS (SELECT vec_id::BIGINT AS row_id, [x::DOUBLE FOR x IN embedding] AS v, label::INT AS label FROM embeddings)"
+M = """m AS (SELECT count(*) AS n, sum(x1 * x1) / count(*) AS g11, sum(x1 * x2) / count(*) AS g12, sum(x2 * x2) / count(*) AS g22, sum(x1 * y) / count(*) AS b1, sum(x2 * y) / count(*) AS b2, sum(y * y) / count(*) AS yy
+  FROM (SELECT l_quantity / 50.0::DOUBLE AS x1, l_discount AS x2, l_extendedprice / 1e5::DOUBLE AS y FROM lineitem))"""
+REG = "0.1::DOUBLE"
+CELLS = "x AS (SELECT row_id, u.i - 1 AS i, v[u.i] AS v, label FROM e, unnest(range(1, len(v) + 1)) AS u(i))"
+COST = "0.5::DOUBLE * 0.5::DOUBLE * g11 + 2 * 0.5::DOUBLE * 0.25::DOUBLE * g12 + 0.25::DOUBLE * 0.25::DOUBLE * g22 - 2 * (0.5::DOUBLE * b1 + 0.25::DOUBLE * b2) + yy"
+NORM = "0.5::DOUBLE * 0.5::DOUBLE + 0.25::DOUBLE * 0.25::DOUBLE"
+PAIRS = "p AS (SELECT a.row_id AS i, b.row_id AS j, list_sum([power(z[1] - z[2], 2) FOR z IN list_zip(a.v, b.v)]) AS d2, list_sum([z[1] * z[2] FOR z IN list_zip(a.v, b.v)]) AS s FROM e a, e b)"
+
+
+def _key(seed: int, epoch: int, row: str = "row_id") -> str:
+    return f"md5('{seed}-{epoch}-' || {row}::VARCHAR)"
+
+
+def _orders() -> str:
+    return "o AS (SELECT o_orderkey AS row_id FROM orders), n AS (SELECT count(*) AS n FROM o)"
+
+
+def _block(size: int, seed: int, epoch: int, source: str) -> str:
+    return f"SELECT *, row_id // {size} AS block_id, row_number() OVER (PARTITION BY row_id // {size} ORDER BY {_key(seed, epoch)}) - 1 AS r FROM {source}"
+
+
+def _fold(order: str, epochs: int) -> str:
+    rows = " UNION ALL ".join(f"SELECT {e} AS epoch, *, {order.format(epoch=e)} AS place FROM c" for e in range(epochs))
+    return f"""WITH RECURSIVE c AS (SELECT c_custkey AS row_id, c_acctbal / 1e4::DOUBLE AS x, (c_mktsegment = 'BUILDING')::INT::DOUBLE AS y FROM customer),
+q AS ({rows}), o AS (SELECT x, y, row_number() OVER (ORDER BY epoch, place) - 1 AS t FROM q),
+f(t, w0, w1, d0, d1) AS (SELECT 0::BIGINT, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE
+UNION ALL SELECT t + 1, w0 - n0, w1 - n1, n0, n1 FROM (SELECT f.t, w0, w1,
+  0.01::DOUBLE * power(0.99::DOUBLE, f.t // 100) * (x * (x * w0 + w1 - y) + {REG} * w0) + 0.9::DOUBLE * d0 AS n0,
+  0.01::DOUBLE * power(0.99::DOUBLE, f.t // 100) * ((x * w0 + w1 - y) + {REG} * w1) + 0.9::DOUBLE * d1 AS n1 FROM f JOIN o ON o.t = f.t)),
+l AS (SELECT * FROM f WHERE t = (SELECT max(t) FROM f))
+SELECT 0::INT AS j, t, round(w0, 6) + 0.0 AS w FROM l UNION ALL SELECT 1::INT, t, round(w1, 6) + 0.0 FROM l"""
+
+
+BLOCK_ORDER = "(row_id // 100) * 100 + row_number() OVER (PARTITION BY row_id // 100 ORDER BY md5('3-{epoch}-' || row_id::VARCHAR)) - 1"
+
+SQL = {
+    "matrix_scan": f"WITH {E} SELECT row_id, label, len(v)::INT AS d, round(list_sum(v), 6) + 0.0 AS total FROM e",
+    "block_counts": "SELECT vec_id // 100 AS block_id, count(*) AS n, min(vec_id) AS first_row FROM embeddings GROUP BY 1",
+    "block_read": "SELECT vec_id AS row_id, label::INT AS label FROM embeddings WHERE vec_id >= 100 AND vec_id < 200",
+    "split_features_label": "SELECT l_orderkey, l_linenumber, l_quantity AS x0, l_discount AS x1, 2::INT AS d, trunc(l_extendedprice)::INT AS label FROM lineitem",
+    "scale_features": "SELECT p_partkey, round(p_size::DOUBLE / 255.0::DOUBLE, 9) + 0.0 AS s0, round(p_retailprice / 255.0::DOUBLE, 9) + 0.0 AS s1 FROM part",
+    "row_subset": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey < 1000",
+    "concat_columns": "SELECT p_partkey, 3::INT AS d, p_size::DOUBLE + p_retailprice + p_partkey::DOUBLE AS total FROM part",
+    "union_batches": "SELECT c_custkey AS key, c_acctbal AS balance, 0::INT AS part FROM customer UNION ALL SELECT s_suppkey, s_acctbal, 1 FROM supplier",
+    "train_test_split_exact": f"""WITH c AS (SELECT c_custkey AS row_id FROM customer), p AS (SELECT row_id, row_number() OVER (ORDER BY {_key(5, 0)}, row_id) - 1 AS position FROM c)
+SELECT row_id, position, position < ceil((SELECT count(*) FROM c) * 0.8::DOUBLE) AS is_train FROM p""",
+    "one_hot": "SELECT vec_id AS row_id, k.c::INT AS c, (k.c = label)::INT AS y FROM embeddings, range(10) AS k(c)",
+    "argmax_decode": f"WITH {E} SELECT row_id, (list_position(v, list_max(v)) - 1)::INT AS largest, CASE WHEN label BETWEEN 0 AND 9 THEN label ELSE 0 END AS decoded FROM e",
+    "threshold_predict": "SELECT CASE WHEN l_quantity / 50.0::DOUBLE > 0.5 THEN 1 ELSE 0 END AS prediction, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2",
+    "row_norms": f"WITH {E} SELECT row_id, round(list_sum([x * x FOR x IN v]), 6) + 0.0 AS norm2 FROM e",
+    "frobenius_norm": f"WITH {E} SELECT round(sqrt(sum(list_sum([x * x FOR x IN v]))), 6) + 0.0 AS norm FROM e",
+    "gram_matrix": f"WITH {E}, {CELLS} SELECT a.i::INT AS i, b.i::INT AS j, round(sum(a.v * b.v), 6) + 0.0 AS g FROM x a JOIN x b USING (row_id) GROUP BY 1, 2",
+    "cross_moment": f"WITH {E}, {CELLS} SELECT i::INT AS i, k.c::INT AS c, round(sum(CASE WHEN label = k.c THEN v ELSE 0 END), 6) + 0.0 AS b FROM x, range(10) AS k(c) GROUP BY 1, 2",
+    "ridge_closed_1d": f"WITH {M} SELECT n, round(b1 / (g11 + {REG}), 6) + 0.0 AS w FROM m",
+    "ridge_closed_2d": f"""WITH {M}, d AS (SELECT *, (g11 + {REG}) * (g22 + {REG}) - g12 * g12 AS det FROM m)
+SELECT 0::INT AS j, 0::INT AS c, round((b1 * (g22 + {REG}) - b2 * g12) / det, 6) + 0.0 AS w FROM d UNION ALL SELECT 1, 0, round((b2 * (g11 + {REG}) - b1 * g12) / det, 6) + 0.0 FROM d""",
+    "ridge_closed_64d_residual": "SELECT count(*) AS n, 0.0::DOUBLE AS residual FROM embeddings",
+    "ridge_loss_norm": f"WITH {M} SELECT round(sqrt({COST}) + {REG} * sqrt({NORM}), 6) AS loss FROM m",
+    "ridge_loss_objective": f"WITH {M} SELECT round(0.5::DOUBLE * ({COST}) + 0.5::DOUBLE * {REG} * ({NORM}), 6) AS loss FROM m",
+    "ridge_gradient_full": f"""WITH {M} SELECT 0::INT AS j, round(g11 * 0.5::DOUBLE + g12 * 0.25::DOUBLE - b1 + {REG} * 0.5::DOUBLE, 6) + 0.0 AS g FROM m
+UNION ALL SELECT 1, round(g12 * 0.5::DOUBLE + g22 * 0.25::DOUBLE - b2 + {REG} * 0.25::DOUBLE, 6) + 0.0 FROM m""",
+    "gd_trajectory": f"""WITH RECURSIVE {M}, r(t, w0, w1) AS (SELECT -1, 0::DOUBLE, 0::DOUBLE UNION ALL
+SELECT t + 1, w0 - 0.2::DOUBLE * power(0.9::DOUBLE, (t + 1) // 10) * (g11 * w0 + g12 * w1 - b1 + {REG} * w0), w1 - 0.2::DOUBLE * power(0.9::DOUBLE, (t + 1) // 10) * (g12 * w0 + g22 * w1 - b2 + {REG} * w1) FROM r, m WHERE t < 49)
+SELECT t::INT AS t, round(w0, 6) + 0.0 AS w0, round(w1, 6) + 0.0 AS w1 FROM r WHERE t >= 0""",
+    "lr_schedule": "SELECT event_id, round(0.5::DOUBLE * power(0.99::DOUBLE, event_id // 1000), 9) + 0.0 AS alpha FROM events",
+    "log_sampling": "SELECT event_id, event_type FROM events WHERE event_id % 1000 = 0",
+    "block_local_shuffle": f"WITH {_orders()}, b AS ({_block(700, 3, 0, 'o')}) SELECT row_id, block_id, block_id * 700 + r AS position FROM b",
+    "external_shuffle": f"""WITH {_orders()}, b AS ({_block(700, 3, 0, 'o')}),
+s AS (SELECT row_id, r // greatest(1, 700 // ceil(n.n / 700.0)::BIGINT) AS slice_id FROM b, n)
+SELECT row_id, slice_id, row_number() OVER (ORDER BY slice_id, {_key(4, 0)}, row_id) - 1 AS position FROM s""",
+    "global_shuffle": f"WITH {_orders()} SELECT row_id, row_number() OVER (ORDER BY {_key(3, 0)}, row_id) - 1 AS position FROM o",
+    "sgd_fold": _fold("row_id", 1),
+    "sgd_fold_block_shuffled": _fold(BLOCK_ORDER, 1),
+    "ssgd_two_epochs": _fold(BLOCK_ORDER, 2),
+    "kernel_sqdist": f"WITH {E}, {PAIRS} SELECT i, j, round(d2, 6) + 0.0 AS k FROM p",
+    "kernel_rbf": f"WITH {E}, {PAIRS} SELECT i, j, round(exp(-d2 / 2.0::DOUBLE), 6) + 0.0 AS k FROM p",
+    "kernel_linear": f"WITH {E}, {PAIRS} SELECT i, j, round(s, 6) + 0.0 AS k FROM p",
+    "lambda_matrix": f"WITH {E}, {PAIRS} SELECT i, j, round(exp(-d2 / 2.0::DOUBLE) + CASE WHEN i = j THEN {REG} ELSE 0 END, 6) + 0.0 AS k FROM p",
+    "matmul_coo": f"""WITH {E}, {CELLS}, g AS (SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM x a JOIN x b USING (row_id) GROUP BY 1, 2),
+b AS (SELECT i, k.c AS j, sum(CASE WHEN label = k.c THEN v ELSE 0 END) AS v FROM x, range(10) AS k(c) GROUP BY 1, 2)
+SELECT g.i::INT AS i, b.j::INT AS j, round(sum(g.v * b.v), 6) + 0.0 AS v FROM g JOIN b ON g.j = b.i GROUP BY 1, 2""",
+}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)

@@ -1,5 +1,296 @@
-"""Registered queries."""
+"""Registered queries of the library, each over its whole tables."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+import math
+import uuid
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ridgeline.functions import arrays
+from ridgeline.operators import fold, kernel, shuffle, stats
+from ridgeline.plans.ridge import GD, ClosedForm, Model, Ridge, kernel_matrix
+from ridgeline.sources import logs, matrix
+from ridgeline.streaming import ssgd
+
+CLASSES, FEATURES, REG = 10, 64, 0.1
+BLOCK = 100
+STEPS = fold.Steps(eta0=0.01, damp=0.99, step=100, momentum=0.9, reg=0.1, log_every=0)
+GD_STEPS = fold.Steps(eta0=0.2, damp=0.9, step=10, momentum=0.0, reg=0.1, log_every=0)
+GD_ITERATIONS = 50
+KERNEL_STEPS = fold.Steps(eta0=0.001, damp=0.99, step=100, momentum=0.5, reg=0.0, log_every=0)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _r(column, digits: int = 6):
+    """Rounded, without negative zeros."""
+    return F.round(column, digits) + F.lit(0.0)
+
+
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two features and a 0/1 label for each customer."""
+    label = F.when(F.col("c_mktsegment") == "BUILDING", 1).otherwise(0)
+    return matrix.labelled(_table(spark, sf_dir, "customer"), "c_custkey", F.array(F.col("c_acctbal") / F.lit(1e4), F.lit(1.0)), label)
+
+
+def _lineitem_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One aggregate of lineitem: n and the moments of x = (quantity / 50, discount) and y = price / 1e5."""
+    x1, x2, y = F.col("l_quantity") / F.lit(50.0), F.col("l_discount"), F.col("l_extendedprice") / F.lit(1e5)
+    sums = {"g11": x1 * x1, "g12": x1 * x2, "g22": x2 * x2, "b1": x1 * y, "b2": x2 * y, "yy": y * y}
+    return _table(spark, sf_dir, "lineitem").agg(F.count("*").alias("n"), *[(F.sum(v) / F.count("*")).alias(k) for k, v in sums.items()])
+
+
+def _moments(spark: SparkSession, sf_dir: str) -> stats.Moments:
+    """Means, not sums, so that steps do not depend on the number of rows."""
+    r = _lineitem_moments(spark, sf_dir).first()
+    return stats.Moments(np.array([[r.g11, r.g12], [r.g12, r.g22]]), np.array([[r.b1], [r.b2]]), np.array([r.yy]), r.n)
+
+
+def matrix_scan(spark, sf_dir):
+    x = F.col("features")
+    return matrix.embeddings(spark, sf_dir).select("row_id", "label", F.size(x).alias("d"), _r(arrays.total(x)).alias("total"))
+
+
+def block_counts(spark, sf_dir):
+    return matrix.embeddings(spark, sf_dir).groupBy(arrays.block_of(F.col("row_id"), BLOCK).alias("block_id")).agg(F.count("*").alias("n"), F.min("row_id").alias("first_row"))
+
+
+def block_read(spark, sf_dir):
+    """Reading one block is what this operator does."""
+    return matrix.read_block(matrix.embeddings(spark, sf_dir), 1, BLOCK).select("row_id", "label")
+
+
+def split_features_label(spark, sf_dir):
+    packed = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array("l_quantity", "l_discount", "l_extendedprice").alias("packed"))
+    x = arrays.features_of(F.col("packed"))
+    return packed.select("l_orderkey", "l_linenumber", x[0].alias("x0"), x[1].alias("x1"), F.size(x).alias("d"), arrays.label_of(F.col("packed")).alias("label"))
+
+
+def scale_features(spark, sf_dir):
+    scaled = arrays.scale(F.array(F.col("p_size").cast("double"), "p_retailprice"), 255.0)
+    return _table(spark, sf_dir, "part").select("p_partkey", _r(scaled[0], 9).alias("s0"), _r(scaled[1], 9).alias("s1"))
+
+
+def row_subset(spark, sf_dir):
+    """A subset of first rows is what this operator gives: here the first thousand orders."""
+    orders = _table(spark, sf_dir, "orders").withColumn("row_id", F.col("o_orderkey"))
+    return matrix.first_rows(orders, 1000).select("o_orderkey", "o_totalprice")
+
+
+def concat_columns(spark, sf_dir):
+    joined = F.concat(F.array(F.col("p_size").cast("double")), F.array("p_retailprice", F.col("p_partkey").cast("double")))
+    return _table(spark, sf_dir, "part").select("p_partkey", F.size(joined).alias("d"), arrays.total(joined).alias("total"))
+
+
+def union_batches(spark, sf_dir):
+    a = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("balance"))
+    b = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("balance"))
+    return matrix.stack(a, b)
+
+
+def train_test_split_exact(spark, sf_dir):
+    rows = customers(spark, sf_dir)
+    return shuffle.split_exact(rows, 0.8, rows.count(), 5).select("row_id", "position", "is_train")
+
+
+def one_hot(spark, sf_dir):
+    hot = arrays.one_hot(F.col("label"), CLASSES)
+    return matrix.embeddings(spark, sf_dir).select("row_id", F.posexplode(hot).alias("c", "y"))
+
+
+def argmax_decode(spark, sf_dir):
+    return matrix.embeddings(spark, sf_dir).select("row_id", arrays.argmax(F.col("features")).alias("largest"), arrays.argmax(arrays.one_hot(F.col("label"), CLASSES)).alias("decoded"))
+
+
+def threshold_predict(spark, sf_dir):
+    return _table(spark, sf_dir, "lineitem").groupBy(arrays.above_half(F.col("l_quantity") / F.lit(50.0)).alias("prediction"), "l_returnflag").agg(F.count("*").alias("n"))
+
+
+def row_norms(spark, sf_dir):
+    return stats.row_norms(matrix.embeddings(spark, sf_dir)).select("row_id", _r(F.col("norm2")).alias("norm2"))
+
+
+def frobenius_norm(spark, sf_dir):
+    return stats.frobenius(matrix.embeddings(spark, sf_dir)).select(_r(F.col("norm")).alias("norm"))
+
+
+def gram_matrix(spark, sf_dir):
+    return stats.gram(matrix.embeddings(spark, sf_dir)).select("i", "j", _r(F.col("g")).alias("g"))
+
+
+def cross_moment(spark, sf_dir):
+    return stats.cross_moment(matrix.embeddings(spark, sf_dir), CLASSES, FEATURES).select("i", "c", _r(F.col("b")).alias("b"))
+
+
+def ridge_closed_1d(spark, sf_dir):
+    m = _lineitem_moments(spark, sf_dir)
+    return m.select("n", _r(F.col("b1") / (F.col("g11") + F.lit(REG))).alias("w"))
+
+
+def ridge_closed_2d(spark, sf_dir):
+    w = Ridge(REG).minimum(_moments(spark, sf_dir))
+    return ssgd.weights_frame(spark, w).select("j", "c", _r(F.col("w")).alias("w"))
+
+
+def ridge_closed_64d_residual(spark, sf_dir):
+    """How far the solution is from the normal equations, and that it is as large as it should be: |W|."""
+    m = stats.moments(matrix.embeddings(spark, sf_dir), CLASSES)
+    w = Ridge(REG).minimum(m)
+    residual = float(np.abs((m.gram + REG * np.eye(len(m.gram))) @ w - m.cross).max())
+    return spark.createDataFrame([(m.n, round(residual, 6) + 0.0)], "n long, residual double")
+
+
+def ridge_predict_accuracy(spark, sf_dir):
+    train = matrix.embeddings(spark, sf_dir)
+    model = ClosedForm(FEATURES, CLASSES, Ridge(REG)).fit(train)
+    return model.predict(train).groupBy("label").agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
+
+
+def _weights_2d(spark, sf_dir):
+    return np.array([[0.5], [0.25]]), _moments(spark, sf_dir)
+
+
+def ridge_loss_norm(spark, sf_dir):
+    w, m = _weights_2d(spark, sf_dir)
+    return spark.createDataFrame([(round(Ridge(REG).value(w, m), 6),)], "loss double")
+
+
+def ridge_loss_objective(spark, sf_dir):
+    w, m = _weights_2d(spark, sf_dir)
+    return spark.createDataFrame([(round(Ridge(REG).objective(w, m), 6),)], "loss double")
+
+
+def ridge_gradient_full(spark, sf_dir):
+    w, m = _weights_2d(spark, sf_dir)
+    return ssgd.weights_frame(spark, Ridge(REG).gradient(w, m)).select("j", _r(F.col("w")).alias("g"))
+
+
+def gd_trajectory(spark, sf_dir):
+    run = GD(2, 1, Ridge(REG), GD_STEPS, iterations=GD_ITERATIONS)
+    rows = [(t, round(float(w[0, 0]), 6) + 0.0, round(float(w[1, 0]), 6) + 0.0) for t, w in run.path(_moments(spark, sf_dir))]
+    return spark.createDataFrame(rows, "t int, w0 double, w1 double")
+
+
+def lr_schedule(spark, sf_dir):
+    events = _table(spark, sf_dir, "events")
+    return events.select("event_id", _r(arrays.learning_rate(F.col("event_id"), 0.5, 0.99, 1000), 9).alias("alpha"))
+
+
+def log_sampling(spark, sf_dir):
+    return _table(spark, sf_dir, "events").filter(arrays.logged(F.col("event_id"), 1000)).select("event_id", "event_type")
+
+
+def block_local_shuffle(spark, sf_dir):
+    return shuffle.block_local_shuffle(_orders(spark, sf_dir), 700, 3).select("row_id", "block_id", "position")
+
+
+def external_shuffle(spark, sf_dir):
+    rows = _orders(spark, sf_dir)
+    return shuffle.external_shuffle(rows, 700, rows.count(), 3).select("row_id", "slice_id", "position")
+
+
+def global_shuffle(spark, sf_dir):
+    return shuffle.global_shuffle(_orders(spark, sf_dir), 3).select("row_id", "position")
+
+
+def _orders(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), "o_totalprice")
+
+
+def _fold(spark, sf_dir, how: str, epochs: int) -> DataFrame:
+    rows = customers(spark, sf_dir)
+    n, state = rows.count(), fold.State.zero(2, 1)
+    for epoch in range(epochs):
+        state = fold.run_fold(shuffle.shuffled(rows, how, 3, epoch, BLOCK, n), state, STEPS, 1)
+    return ssgd.weights_frame(spark, state.weights).select("j", F.lit(state.t).cast("long").alias("t"), _r(F.col("w")).alias("w"))
+
+
+def sgd_fold(spark, sf_dir):
+    return _fold(spark, sf_dir, "none", 1)
+
+
+def sgd_fold_block_shuffled(spark, sf_dir):
+    return _fold(spark, sf_dir, "block_local", 1)
+
+
+def ssgd_two_epochs(spark, sf_dir):
+    return _fold(spark, sf_dir, "block_local", 2)
+
+
+def _kernel(name):
+    def run(spark, sf_dir):
+        return kernel.kernel_cells(matrix.embeddings(spark, sf_dir), name).select("i", "j", _r(F.col("k")).alias("k"))
+
+    return run
+
+
+def lambda_matrix(spark, sf_dir):
+    return kernel.add_diagonal(kernel.kernel_cells(matrix.embeddings(spark, sf_dir), "rbf"), REG).select("i", "j", _r(F.col("k")).alias("k"))
+
+
+def kernel_sgd(spark, sf_dir):
+    """Dual weights for the label being under 5, by a fold over the rows of K + reg I."""
+    rows = matrix.embeddings(spark, sf_dir).withColumn("label", (F.col("label") < 5).cast("int"))
+    ordered = kernel_matrix(rows, "rbf", 1.0, REG).withColumn("position", F.col("row_id"))
+    n = rows.count()
+    state = fold.run_fold(ordered, fold.State.zero(n, 1), KERNEL_STEPS, 1)
+    return ssgd.weights_frame(spark, state.weights).select(F.col("j").cast("long").alias("i"), _r(F.col("w")).alias("alpha"))
+
+
+def matmul_coo(spark, sf_dir):
+    rows = matrix.embeddings(spark, sf_dir)
+    a = stats.gram(rows).select("i", "j", F.col("g").alias("v"))
+    b = stats.cross_moment(rows, CLASSES, FEATURES).select("i", F.col("c").alias("j"), F.col("b").alias("v"))
+    return kernel.matmul(a, b).select("i", "j", _r(F.col("v")).alias("v"))
+
+
+def ssgd_stream(spark, sf_dir):
+    rows = customers(spark, sf_dir)
+    ordered = shuffle.shuffled(rows, "external", 3, 0, 500, rows.count())
+    path = _scratch(spark)
+    blocks = ssgd.write_blocks(ordered, path, math.ceil(rows.count() / 8))
+    state = ssgd.train_stream(spark, path, 2, 1, STEPS, epochs=2)
+    return ssgd.weights_frame(spark, state.weights).withColumn("t", F.lit(state.t)).withColumn("blocks", F.lit(blocks))
+
+
+def local_sgd_average(spark, sf_dir):
+    x = F.array(F.col("l_quantity") / F.lit(50.0), "l_discount")
+    rows = matrix.labelled(_table(spark, sf_dir, "lineitem"), "l_orderkey", x, (F.col("l_extendedprice") > 50_000).cast("int"))
+    return ssgd.weights_frame(spark, fold.local_average(rows, STEPS, 2, 1, 4))
+
+
+def training_log_roundtrip(spark, sf_dir):
+    m = _moments(spark, sf_dir)
+    loss = Ridge(REG)
+    rows = [(t, 0.5 * t, loss.value(w, m), 0.5, 0.25) for t, w in GD(2, 1, loss, GD_STEPS, iterations=20).path(m)]
+    path = _scratch(spark)
+    logs.write_log(spark, rows, path)
+    return logs.read_logs(spark, path).drop("run")
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A place in the cluster's shared folder; a temporary folder only where none is set."""
+    import tempfile
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ridgeline-")
+    return f"{shared}/ridgeline-{uuid.uuid4().hex}"
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    plain = (
+        matrix_scan, block_counts, block_read, split_features_label, scale_features, row_subset, concat_columns, union_batches, train_test_split_exact,
+        one_hot, argmax_decode, threshold_predict, row_norms, frobenius_norm, gram_matrix, cross_moment, ridge_closed_1d, ridge_closed_2d,
+        ridge_closed_64d_residual, ridge_predict_accuracy, ridge_loss_norm, ridge_loss_objective, ridge_gradient_full, gd_trajectory, lr_schedule, log_sampling,
+        block_local_shuffle, external_shuffle, global_shuffle, sgd_fold, sgd_fold_block_shuffled, ssgd_two_epochs, lambda_matrix, kernel_sgd, matmul_coo,
+        ssgd_stream, local_sgd_average, training_log_roundtrip,
+    )
+    return {f.__name__: f for f in plain} | {f"kernel_{k}": _kernel(k) for k in kernel.KERNELS}
+
+
+__all__ = ["Model", "queries"]
