@@ -136,13 +136,16 @@ def side_by_side(v: Vocabulary, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes words; verdicts on pairs of pieces stay for later batches, which bounds nothing but repeats."""
+    """Encodes texts. Verdicts on pairs of pieces and the pieces of the first MOST_WORDS words stay for later batches; both only save repeats."""
 
-    MOST_PAIRS = 1 << 21
+    MOST_PAIRS, MOST_WORDS = 1 << 21, 1 << 19
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.pairs, self.fits = np.zeros(0, np.int64), np.zeros(0, bool)
+        # words met before, sorted by hash: where their pieces start in flat, and how many they are
+        self.met, self.met_where, self.met_count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.int32)
 
     def _allowed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         keys, inverse = np.unique(a * len(self.v.rank) + b, return_inverse=True)
@@ -157,9 +160,8 @@ class Encoder:
             if len(self.pairs) > self.MOST_PAIRS:
                 self.pairs, self.fits = new, out[~known]
             else:
-                merged = np.concatenate((self.pairs, new))
-                order = np.argsort(merged, kind="stable")
-                self.pairs, self.fits = merged[order], np.concatenate((self.fits, out[~known]))[order]
+                at = np.searchsorted(self.pairs, new)
+                self.pairs, self.fits = np.insert(self.pairs, at, new), np.insert(self.fits, at, out[~known])
         return out[inverse]
 
     def words(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,28 +231,36 @@ class Encoder:
         up, down = _text.powers(len(points) + 1)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], dtype=np.uint64)))
         names = _text.mix((sums[ends] - sums[first]) * down[first])
-        _, example, inverse = np.unique(names, return_index=True, return_inverse=True)
-        ids: list[np.ndarray] = []
-        lengths = np.zeros(len(example), np.int64)
-        where = np.zeros(len(example), np.int64)
-        total = 0
-        for length in np.unique(sizes[example]):
-            own = np.flatnonzero(sizes[example] == length)
-            for low in range(0, len(own), max(1, min(TOGETHER, (1 << 18) // int(length)))):
-                some_words = own[low : low + max(1, min(TOGETHER, (1 << 18) // int(length)))]
+        words, example, inverse = np.unique(names, return_index=True, return_inverse=True)
+        lengths, where = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.met, words), max(0, len(self.met) - 1))
+        known = self.met[at] == words if len(self.met) else np.zeros(len(words), bool)
+        lengths[known], where[known] = self.met_count[at[known]], self.met_where[at[known]]
+        ids, total = [self.flat], len(self.flat)
+        fresh = np.flatnonzero(~known)
+        for length in np.unique(sizes[example[fresh]]):
+            own = fresh[sizes[example[fresh]] == length]
+            together = max(1, min(TOGETHER, (1 << 18) // int(length)))
+            for low in range(0, len(own), together):
+                some_words = own[low : low + together]
                 found, counts = self.words(points[first[example[some_words]][:, None] + np.arange(length)])
-                flat, counts = self._bytes(found[found != NONE], counts)
+                pieces, counts = self._bytes(found[found != NONE], counts)
                 lengths[some_words] = counts
                 where[some_words] = total + np.concatenate(([0], np.cumsum(counts)[:-1]))
-                total += len(flat)
-                ids.append(flat)
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+                total += len(pieces)
+                ids.append(pieces.astype(np.int32))
+        flat = np.concatenate(ids)
+        if len(fresh) and len(self.met) < self.MOST_WORDS:
+            merged = np.concatenate((self.met, words[fresh]))
+            order = np.argsort(merged, kind="stable")
+            self.met, self.flat = merged[order], flat
+            self.met_where, self.met_count = np.concatenate((self.met_where, where[fresh]))[order], np.concatenate((self.met_count, lengths[fresh]))[order]
         counts = lengths[inverse]
         ends = np.cumsum(counts)
         take = np.repeat(where[inverse] - np.concatenate(([0], ends[:-1])), counts) + np.arange(int(counts.sum()))
         per_row = np.zeros(n, np.int64)
         per_row[some] = np.bincount(row, counts, minlength=int(some.sum())).astype(np.int64)
-        return flat[take].astype(np.int32), per_row
+        return flat[take], per_row
 
     def _bytes(self, flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters without a piece as the pieces of their bytes."""
