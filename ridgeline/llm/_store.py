@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 
@@ -43,3 +44,8 @@ def discard(df: DataFrame) -> None:
         folder = jvm.org.apache.hadoop.fs.Path(name).getParent()
         if folder.getName().startswith("ridgeline-"):
             folder.getFileSystem(conf).delete(folder, True)
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """The columns of df, whatever characters their names hold."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in df.columns]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm._store import materialize
+from ridgeline.llm._store import columns, materialize
 
 #: A line is boilerplate of a site if it stands on more than RATIO of the site's pages and on at least LEAST_PAGES of them.
 RATIO, LEAST_PAGES = 0.05, 5
@@ -58,7 +58,7 @@ def drop_boilerplate(pages: DataFrame, site: str, text: str, ratio: float = RATI
     out = joined.withColumn("_lines", lines).withColumn("_kept", F.when(F.col("_hashes").isNull(), F.col("_lines")).otherwise(kept))
     counts = {"n_lines": F.coalesce(F.size("_lines"), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size("_lines") - F.size("_kept"), F.lit(0)).cast("long")}
     out = out.withColumns(counts).withColumn(text, F.array_join("_kept", "\n"))
-    return out.select(*pages.columns, "n_lines", "n_dropped")
+    return out.select(*columns(pages), "n_lines", "n_dropped")
 
 
 def _hashes(text: Column) -> Column:

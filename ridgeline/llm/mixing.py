@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.llm._store import columns
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -73,16 +75,15 @@ def mix_texts(docs: DataFrame, seed: int = 17) -> DataFrame:
     n_chars, where there is such a column, follows the text. Rows join their part by doc_id; rows that share a doc_id take the largest part of them.
     """
     taken = mix(docs, seed).groupBy("doc_id").agg(F.max("taken").alias("_taken"))
-    columns = docs.columns
     size = F.greatest(n_words(F.col("text")), F.lit(1))
     rows = docs.join(taken, "doc_id").filter("_taken > 0").withColumn("_whole", F.floor(F.col("_taken") / size).cast("int")).withColumn("_rest", (F.col("_taken") % size).cast("int"))
     copies = F.concat(F.array_repeat(F.lit(0), F.col("_whole")), F.when(F.col("_rest") > 0, F.array("_rest")).otherwise(F.array().cast("array<int>")))
     rows = rows.withColumn("_cut", F.explode(copies))
     pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     rows = rows.withColumn("text", F.when(F.col("_cut") > 0, F.array_join(F.slice(pieces, F.lit(1), F.greatest(F.col("_cut"), F.lit(1))), "")).otherwise(F.col("text")))
-    if "n_chars" in columns:
+    if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("_cut") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(columns)
+    return rows.select(columns(docs))
 
 
 def _digits(docs: DataFrame) -> int:
