@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.llm import _text
-from ridgeline.llm._store import discard, materialize
+from ridgeline.llm._store import columns, discard, materialize
 
 #: Words of a shingle, and the least 100 * intersection / union of a link.
 WORDS, PERCENT = 5, 80
@@ -24,7 +24,7 @@ CIRCLE = 1 << 20
 #: One-bit sketches of a pair at the threshold differ in 24 of 240 places, give or take 4.6; a pair beyond 52 is not verified.
 SKETCH_BITS, SKETCH_APART = 240, 52
 #: Sets of each side that meet in one task of the exact comparison.
-BLOCK = 1024
+BLOCK = 256
 _SIGMA = np.uint64(0xA24BAED4963EE407)
 
 FINGERPRINT = "doc_id long, n_shingles long, key binary, bands array<long>, sketch array<long>"
@@ -263,4 +263,4 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     kept = near_duplicates(docs, words, percent).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(1)))
     named = docs.join(kept, "doc_id", "left_semi").withColumn("_n", rank).filter("_n = 1").drop("_n")
-    return named.select(docs.columns).union(docs.filter("doc_id IS NULL").select(docs.columns))
+    return named.select(columns(docs)).union(docs.filter("doc_id IS NULL").select(columns(docs)))
