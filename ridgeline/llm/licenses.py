@@ -38,7 +38,7 @@ def word_array(text: Column) -> Column:
     lower() is put right first for the only two other characters that it turns into ASCII letters, U+0130 and U+212A; what it does to
     characters beyond ASCII changes no word's bounds and no phrase.
     """
-    plain = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("İ"), F.lit("ı")), F.lit("K"), F.lit("κ"))
+    plain = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\u0130"), F.lit("\u0131")), F.lit("\u212a"), F.lit("\u03ba"))
     return F.array_remove(F.split(F.lower(plain), SEPARATORS, -1), "")
 
 

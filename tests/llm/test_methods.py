@@ -160,11 +160,12 @@ def test_smoothed_models_are_distributions():
 def test_licenses_in_longer_notices(spark):
     texts = [
         "x Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in strict compliance with the License. y",
-        "under the MIT license or under the mit LICENSE", "CC-BY-NC cc by nc", "licensed under the GNU General Public License version 3", "the mit license under",
+        "under the MIT license or under the mit LICENSE", "CC-BY-NC cc by nc", "licensed under the GNU General Public License version 3", "the mit license under", "under the m\u0130t license", "WORKS \u212a UNDER THE MIT LICENSE",
     ]
     rows = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert (rows[0].base_labels, rows[0].labels, rows[0].first_word) == ("apache-2", "apache-2", 4)
     assert (rows[1].n_base, rows[1].first_word, rows[1].last_word) == (2, 0, 5)
+    assert (rows[5].n_base, rows[5].n_words, rows[6].n_base, rows[6].n_words) == (0, 4, 1, 6)
     assert (rows[2].n_base, rows[3].labels, rows[3].base_labels, rows[4].labels) == (2, "gpl-3", "", "")
     assert all(s.share >= licenses.LEAST for r in rows.values() for s in r.spans)
 
