@@ -16,7 +16,7 @@ from ridgeline.llm import _text
 SPACE = "▁"
 #: Path of the vocabulary file; never a part of the repository.
 DEFAULT_MODEL = os.environ.get("PIECES_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Leading bits of a hash that tell most substrings from all pieces before the search among sorted keys.
 SIEVE_BITS = 20
 #: Words of one length that advance together at most.
@@ -138,7 +138,7 @@ def side_by_side(v: Vocabulary, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes texts. Verdicts on pairs of pieces and the pieces of the first MOST_WORDS words stay for later batches; both only save repeats."""
 
-    MOST_PAIRS, MOST_WORDS = 1 << 21, 1 << 19
+    MOST_PAIRS, MOST_WORDS = 1 << 19, 1 << 17
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
