@@ -186,10 +186,22 @@ class SSGD(SGD):
     shuffle: str = "external"
 
 
+@dataclass
+class HSGD(Algorithm):
+    """Parts folded apart and averaged, in the place of lock-free descent; see fold.local_average."""
+
+    parts: int = 8
+    seed: int = 0
+
+    @timed
+    def fit(self, train, test=None):
+        return Model(fold.local_average(self.hook(train), self.steps, self.features, self.classes, self.parts, self.seed))
+
+
 def kernel_matrix(matrix: DataFrame, name: str = "rbf", sigma: float = 1.0, reg: float = 0.1) -> DataFrame:
     """K + reg * I with the labels, as a matrix to train on: weights found on it are the dual weights."""
     rows = kernel.kernel_rows(matrix, name, sigma, reg)
     return rows.join(matrix.select("row_id", "label"), "row_id")
 
 
-ALGORITHMS = {"closed": ClosedForm, "gd": GD, "sgd": SGD, "ssgd": SSGD}
+ALGORITHMS = {"closed": ClosedForm, "gd": GD, "sgd": SGD, "ssgd": SSGD, "hsgd": HSGD}
