@@ -136,33 +136,33 @@ def side_by_side(v: Vocabulary, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes texts. Verdicts on pairs of pieces and the pieces of the first MOST_WORDS words stay for later batches; both only save repeats."""
+    """Encodes texts. Verdicts on pairs of pieces and the pieces of the first MOST_WORDS words stay for later batches; both only save repeats.
 
-    MOST_PAIRS, MOST_WORDS = 1 << 19, 1 << 17
+    A verdict has one slot by the hash of its pair, where a later pair replaces it, so that the table neither grows nor needs an order.
+    """
+
+    PAIR_BITS, MOST_WORDS = 20, 1 << 18
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.pairs, self.fits = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.pairs, self.fits = np.full(1 << self.PAIR_BITS, NONE), np.zeros(1 << self.PAIR_BITS, bool)
         # words met before, sorted by hash: where their pieces start in flat, and how many they are
         self.met, self.met_where, self.met_count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
 
     def _allowed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        keys, inverse = np.unique(a * len(self.v.rank) + b, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.pairs, keys), max(0, len(self.pairs) - 1))
-        known = self.pairs[at] == keys if len(self.pairs) else np.zeros(len(keys), bool)
-        out = np.zeros(len(keys), bool)
-        if known.any():
-            out[known] = self.fits[at[known]]
-        if not known.all():
-            new = keys[~known]
-            out[~known] = side_by_side(self.v, new // len(self.v.rank), new % len(self.v.rank))
-            if len(self.pairs) > self.MOST_PAIRS:
-                self.pairs, self.fits = new, out[~known]
-            else:
-                at = np.searchsorted(self.pairs, new)
-                self.pairs, self.fits = np.insert(self.pairs, at, new), np.insert(self.fits, at, out[~known])
-        return out[inverse]
+        keys = a * len(self.v.rank) + b
+        slot = (keys.astype(np.uint64) * _text.BASE) >> np.uint64(64 - self.PAIR_BITS)
+        out = self.fits[slot]
+        new = np.flatnonzero(self.pairs[slot] != keys)
+        if len(new):
+            asked, example, inverse = np.unique(keys[new], return_index=True, return_inverse=True)
+            verdict = side_by_side(self.v, asked // len(self.v.rank), asked % len(self.v.rank))
+            out[new] = verdict[inverse]
+            # of pairs that share a slot one stays, key and verdict alike
+            slots, one = np.unique(slot[new[example]], return_index=True)
+            self.pairs[slots], self.fits[slots] = asked[one], verdict[one]
+        return out
 
     def words(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """points: words of one length, a row each. Piece ids of the best path of each, NONE - code point for characters without a piece, and their number.
@@ -276,6 +276,17 @@ class Encoder:
         return out, np.bincount(word, grown, minlength=len(counts)).astype(np.int64)
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(model: str, shared) -> Encoder:
+    """The encoder of a worker process, which keeps it for its later tasks with the same model file."""
+    if model not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[model] = Encoder(shared.value)
+    return _ENCODERS[model]
+
+
 def decode(v: Vocabulary, column: pa.Array) -> pa.Array:
     """Texts of lists of piece ids: what the pieces stand for, without the space before the text. Bytes that are no UTF-8 become U+FFFD; null gives an empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -293,12 +304,9 @@ def decode(v: Vocabulary, column: pa.Array) -> pa.Array:
 def encode_texts(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
     """docs with pieces (array of ids), n_pieces and decoded_equal (whether decoding gives the text back). Null texts count as empty: no pieces. Columns of docs by these names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(load(model))  # of the vocabulary's size, whatever the data
-    held: dict[str, Encoder] = {}
 
     def run(column: pa.Array) -> list[pa.Array]:
-        encoder = held.setdefault("encoder", None) or Encoder(shared.value)
-        held["encoder"] = encoder
-        ids = encoder.encode(column)
+        ids = _encoder(model, shared).encode(column)
         same = pc.equal(decode(shared.value, ids), column.fill_null(""))
         return [ids, pc.list_value_length(ids).cast(pa.int64()), same]
 
