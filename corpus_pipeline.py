@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm import langid, lines, minhash, mixing, pieces
-from ridgeline.llm._store import columns, materialize
+from ridgeline.llm._store import materialize
 
 #: A document without a language, or where none is likelier than all others together, is rejected.
 LEAST_POSTERIOR = 0.5
@@ -21,8 +21,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the boilerplate lines of their source; every document stays."""
-    out = lines.drop_boilerplate(docs, "source", "text")
-    return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(columns(docs))
+    whole = docs.select(F.struct("*").dropFields("text").alias("doc"), "source", "text")
+    out = lines.drop_boilerplate(whole, "source", "text")
+    n_chars = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("doc.n_chars")).cast(docs.schema["n_chars"].dataType)
+    now = {"text": F.col("text"), "n_chars": n_chars}
+    return out.select([now.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
