@@ -49,3 +49,11 @@ def discard(df: DataFrame) -> None:
 def columns(df: DataFrame) -> list[Column]:
     """The columns of df, whatever characters their names hold."""
     return [F.col("`" + name.replace("`", "``") + "`") for name in df.columns]
+
+
+def own_prefix(df: DataFrame) -> str:
+    """A prefix that no column of df starts with, for columns that join it for a while."""
+    prefix = "_"
+    while any(name.startswith(prefix) for name in df.columns):
+        prefix += "_"
+    return prefix

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm._store import columns, materialize
+from ridgeline.llm._store import columns, materialize, own_prefix
 
 #: A line is boilerplate of a site if it stands on more than RATIO of the site's pages and on at least LEAST_PAGES of them.
 RATIO, LEAST_PAGES = 0.05, 5
@@ -51,13 +51,14 @@ def drop_boilerplate(pages: DataFrame, site: str, text: str, ratio: float = RATI
     Columns of pages named n_lines and n_dropped are replaced.
     """
     pages = pages.drop("n_lines", "n_dropped")
-    known = materialize(boilerplate(pages, site, text, ratio, least_pages)).withColumnsRenamed({"site": "_site", "hashes": "_hashes"})
-    joined = pages.join(known, F.col(site) == F.col("_site"), "left")
+    p = own_prefix(pages)
+    known = materialize(boilerplate(pages, site, text, ratio, least_pages)).withColumnsRenamed({"site": f"{p}site", "hashes": f"{p}hashes"})
+    joined = pages.join(known, F.col(site) == F.col(f"{p}site"), "left")
     lines = F.split(F.col(text), "\n", -1)
-    kept = F.filter(lines, lambda line: ~F.array_contains(F.col("_hashes"), F.xxhash64(line)))
-    out = joined.withColumn("_lines", lines).withColumn("_kept", F.when(F.col("_hashes").isNull(), F.col("_lines")).otherwise(kept))
-    counts = {"n_lines": F.coalesce(F.size("_lines"), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size("_lines") - F.size("_kept"), F.lit(0)).cast("long")}
-    out = out.withColumns(counts).withColumn(text, F.array_join("_kept", "\n"))
+    kept = F.filter(lines, lambda line: ~F.array_contains(F.col(f"{p}hashes"), F.xxhash64(line)))
+    out = joined.withColumn(f"{p}lines", lines).withColumn(f"{p}kept", F.when(F.col(f"{p}hashes").isNull(), F.col(f"{p}lines")).otherwise(kept))
+    counts = {"n_lines": F.coalesce(F.size(f"{p}lines"), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size(f"{p}lines") - F.size(f"{p}kept"), F.lit(0)).cast("long")}
+    out = out.withColumns(counts).withColumn(text, F.array_join(f"{p}kept", "\n"))
     return out.select(*columns(pages), "n_lines", "n_dropped")
 
 

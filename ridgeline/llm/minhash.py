@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.llm import _text
-from ridgeline.llm._store import columns, discard, materialize
+from ridgeline.llm._store import columns, discard, materialize, own_prefix
 
 #: Words of a shingle, and the least 100 * intersection / union of a link.
 WORDS, PERCENT = 5, 80
@@ -262,5 +262,6 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     """docs without near copies: of each component the document with the smallest id stays, of rows that share its id one."""
     kept = near_duplicates(docs, words, percent).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(1)))
-    named = docs.join(kept, "doc_id", "left_semi").withColumn("_n", rank).filter("_n = 1").drop("_n")
+    n = f"{own_prefix(docs)}n"
+    named = docs.join(kept, "doc_id", "left_semi").withColumn(n, rank).filter(F.col(n) == 1).drop(n)
     return named.select(columns(docs)).union(docs.filter("doc_id IS NULL").select(columns(docs)))

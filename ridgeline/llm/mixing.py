@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm._store import columns
+from ridgeline.llm._store import columns, own_prefix
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in order, repeating.
@@ -72,17 +72,19 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, s
 def mix_texts(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The mix itself: docs with its own columns, each row as often as its taken words hold it whole, and the row at a cut once more, cut after its share of words.
 
-    n_chars, where there is such a column, follows the text. Rows join their part by doc_id; rows that share a doc_id take the largest part of them.
+    n_chars, where there is such a column, follows the text. Rows join their part by doc_id; rows that share a doc_id, or have none, take the largest part of them.
     """
-    taken = mix(docs, seed).groupBy("doc_id").agg(F.max("taken").alias("_taken"))
+    p = own_prefix(docs)
+    id_, taken, whole, rest, cut = (F.col(f"{p}{c}") for c in ("id", "taken", "whole", "rest", "cut"))
+    parts = mix(docs, seed).groupBy(F.col("doc_id").alias(f"{p}id")).agg(F.max("taken").alias(f"{p}taken"))
     size = F.greatest(n_words(F.col("text")), F.lit(1))
-    rows = docs.join(taken, "doc_id").filter("_taken > 0").withColumn("_whole", F.floor(F.col("_taken") / size).cast("int")).withColumn("_rest", (F.col("_taken") % size).cast("int"))
-    copies = F.concat(F.array_repeat(F.lit(0), F.col("_whole")), F.when(F.col("_rest") > 0, F.array("_rest")).otherwise(F.array().cast("array<int>")))
-    rows = rows.withColumn("_cut", F.explode(copies))
+    rows = docs.join(parts, F.col("doc_id").eqNullSafe(id_)).filter(taken > 0).withColumn(f"{p}whole", F.floor(taken / size).cast("int")).withColumn(f"{p}rest", (taken % size).cast("int"))
+    copies = F.concat(F.array_repeat(F.lit(0), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
+    rows = rows.withColumn(f"{p}cut", F.explode(copies))
     pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    rows = rows.withColumn("text", F.when(F.col("_cut") > 0, F.array_join(F.slice(pieces, F.lit(1), F.greatest(F.col("_cut"), F.lit(1))), "")).otherwise(F.col("text")))
+    rows = rows.withColumn("text", F.when(cut > 0, F.array_join(F.slice(pieces, F.lit(1), F.greatest(cut, F.lit(1))), "")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_cut") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        rows = rows.withColumn("n_chars", F.when(cut > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return rows.select(columns(docs))
 
 

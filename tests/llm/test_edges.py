@@ -6,10 +6,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ridgeline.llm import ann, langid, licenses, lines, media, minhash, mixing, pieces, substring, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-EXTRA = ["score", "key", "row", "size", "bucket", "lang_pred", "n_words", "taken", "id", "own", "packed", "site", "pieces", "component", "a.b", "_row", "target", "place", "w", "log_ratio"]
+EXTRA = ["score", "key", "row", "size", "bucket", "lang_pred", "n_words", "taken", "id", "own", "packed", "site", "pieces", "component", "a.b", "_row", "target", "place", "w", "log_ratio", "_n", "_taken", "_cut", "_kept", "__hashes", "n_lines", "n_dropped"]
 LONG = " ".join(random.Random(7).choice(["lorem", "ipsum", "dolor", "sit", "amet", "été"]) + str(i % 977) for i in range(30_000))
 ROWS = [
     (1, "The quick brown fox jumps over the lazy dog", "en", "a", 43), (2, "The quick brown fox jumps over the lazy dog", "en", "b", 43),
@@ -47,7 +48,11 @@ def test_mixing(docs, nothing):
     assert all(taken == int(target) and size == source_size for taken, size, target, source_size in sums.values())
     assert {r.doc_id: r.taken for r in rows}[3] == 0
     assert mixing.mix(nothing).count() == 0 and mixing.mix_texts(nothing).count() == 0
-    assert mixing.mix_texts(docs).columns == docs.columns
+    mixed = mixing.mix_texts(docs)
+    assert mixed.columns == docs.columns
+    part = max(r.taken for r in rows if r.doc_id is None)
+    found = [r for r in mixed.collect() if r.doc_id is None]
+    assert sum(len(r.text.split()) for r in found) == part and all(r["_cut"] == r["_taken"] == 1 for r in found)
 
 
 def test_mixed_texts_hold_the_words_taken(spark):
@@ -149,6 +154,15 @@ def test_lines(docs, nothing):
     assert rows[10].n_dropped == 0 and rows[12].text is None and rows[12].n_lines == 0 and rows[13].text == "" and rows[14].text == "menu"
     assert lines.drop_boilerplate(nothing, "source", "text").count() == 0
     assert lines.drop_boilerplate(docs, "source", "text").count() == len(ROWS)
+    assert {(r["_kept"], r["__hashes"]) for r in lines.drop_boilerplate(docs, "source", "text").collect()} == {(1, 1)}
+
+
+def test_stages_keep_the_columns_of_documents(docs, nothing):
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(docs.sparkSession, docs, "")
+        assert out.columns == docs.columns, name
+        assert {tuple(r[c] for c in EXTRA) for r in out.collect()} <= {(1,) * len(EXTRA)}, name
+        assert stage(docs.sparkSession, nothing, "").count() == 0
 
 
 def test_toxicity(docs, nothing):
