@@ -224,3 +224,28 @@ def test_pipeline(spark, data):
     final = corpus_pipeline.STAGES[-1][1](spark, kept, data).collect()
     assert len(final) == kept.count() and all(r.decoded_equal for r in final)
     assert os.path.exists(pieces.DEFAULT_MODEL)
+
+
+def test_rare_toxic_words_are_found_in_long_texts(spark):
+    """Whole words tell what four-letter windows cannot: in any script, however long the text around them."""
+    r = random.Random(3)
+    usual = ["".join(r.choice("абвгдежзиклмноп") for _ in range(6)) for _ in range(300)] + ["的一", "是不", "了人"]
+    rude = ["клопдаг", "зажибок"]
+    rows = []
+    for i in range(900):
+        toxic = i % 6 == 0
+        text = [r.choice(usual) for _ in range(400)]
+        if toxic:
+            text[r.randrange(400)] = r.choice(rude)
+        rows.append((i, " ".join(text), int(toxic)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    found = toxicity.score(table.select("doc_id", "text"), table.select("doc_id", "toxic"), lambda c: langid.fold(c, 3) != 1).collect()
+    held = [x for x in found if __import__("zlib").crc32(str(x.doc_id).encode()) % 3 == 1]
+    assert len(found) == 900 and np.mean([(x.score >= 0.7) == rows[x.doc_id][2] for x in held]) > 0.95
+
+
+def test_evidence_counts_every_word_of_every_document(spark):
+    rows = [(i, f"only{i} shared" + (" bad" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(40)]
+    _, known = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    bad = next(toxicity.words(pa.array(["bad"])))[3][0]
+    assert {x.key: x.evidence for x in known.collect()} == {bad: pytest.approx((2 * 10 * np.log(4)) ** 0.5)}
