@@ -20,9 +20,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the boilerplate lines of their source; every document stays."""
+    """Texts without the boilerplate lines of their source; every document stays. Exact copies in a source count as one, so the copy that near_dedup keeps still has its text."""
     whole = docs.select(F.struct("*").dropFields("text").alias("doc"), "source", "text")
-    out = lines.drop_boilerplate(whole, "source", "text")
+    out = lines.drop_boilerplate(whole, "source", "text", once=True)
     n_chars = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("doc.n_chars")).cast(docs.schema["n_chars"].dataType)
     now = {"text": F.col("text"), "n_chars": n_chars}
     return out.select([now.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])

@@ -182,3 +182,13 @@ def test_ann(spark):
     assert rows[0].score == rows[1].score
     assert ann.search(table.limit(0), table).count() == 0 and ann.search(table, table.limit(0)).count() == 0
     assert len(ann.search(table, table.filter("vec_id = 1"), nearest_k=100).collect()) == 29
+
+
+def test_copies_do_not_make_their_own_lines_boilerplate(spark):
+    copied = "first line of the copied page\nsecond line of it"
+    rows = [(i, copied if i < 20 else f"menu\nbody number {i} {i * i}", "en", "s", None) for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert len(found) == 60 and all(found[i] == (copied if i < 20 else f"body number {i} {i * i}") for i in found)
+    kept = [r for r in corpus_pipeline.near_dedup(spark, corpus_pipeline.line_dedup(spark, docs, ""), "").collect() if r.doc_id < 20]
+    assert [r.text for r in kept] == [copied]
