@@ -192,3 +192,15 @@ def test_copies_do_not_make_their_own_lines_boilerplate(spark):
     assert len(found) == 60 and all(found[i] == (copied if i < 20 else f"body number {i} {i * i}") for i in found)
     kept = [r for r in corpus_pipeline.near_dedup(spark, corpus_pipeline.line_dedup(spark, docs, ""), "").collect() if r.doc_id < 20]
     assert [r.text for r in kept] == [copied]
+
+
+def test_rows_without_doc_id_take_their_own_part(spark):
+    rows = [(None, "one", "en", "a", 3), (None, "w " * 2000, "en", "b", None), *((None, f"x{i} y", "en", "b", 4) for i in range(9)), *((7, f"p{i} q r", "en", "c", 7) for i in range(9)), (8, "z", "en", "c", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    taken, words, most = {}, {}, {}
+    for r in mixing.mix(docs).collect():
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    for r in mixing.mix_texts(docs).collect():
+        words[r.source] = words.get(r.source, 0) + len(r.text.split())
+        most[r.text] = most.get(r.text, 0) + 1
+    assert words == {s: n for s, n in taken.items() if n} and most.get("one", 0) <= 2
