@@ -13,8 +13,13 @@ LEAST_POSTERIOR = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language. The classifier learns from the labelled documents themselves; their lang column stays as it is."""
+    """Documents whose text has a language. The classifier learns from the labelled documents themselves; their lang column stays as it is.
+
+    Where no document has both a label and a text there is nothing to learn from, and every text that has a letter stays.
+    """
     model = langid.fit(docs)
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     found = langid.predict(docs.select(F.struct("*").alias("doc"), "text"), model)
     return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_POSTERIOR)).select("doc.*")
 

@@ -204,3 +204,9 @@ def test_rows_without_doc_id_take_their_own_part(spark):
         words[r.source] = words.get(r.source, 0) + len(r.text.split())
         most[r.text] = most.get(r.text, 0) + 1
     assert words == {s: n for s, n in taken.items() if n} and most.get("one", 0) <= 2
+
+
+def test_documents_without_any_label_stay(docs):
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    out = corpus_pipeline.language(docs.sparkSession, bare, "")
+    assert out.columns == docs.columns and sorted(str(r.doc_id) for r in out.collect()) == sorted(map(str, (1, 2, 6, 7, 9, 9, None)))
