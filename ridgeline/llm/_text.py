@@ -6,6 +6,7 @@ Every function works on all bytes of a text. A null text counts as an empty one
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -87,14 +88,34 @@ def lower_ascii(raw: np.ndarray) -> np.ndarray:
     return np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range raw[start:end]; equal bytes give equal hashes wherever they lie."""
-    if len(starts) == 0:
+#: Spans of up to so many bytes are hashed eight bytes at a time, longer ones by a digest.
+LONG_BYTES = 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte range raw[start:end]; equal bytes give equal hashes wherever they lie.
+
+    Up to eight bytes the hash is a bijection for each length. Every further eight bytes are mixed in by a function that is not linear, so that no pattern of bytes
+    makes different ranges meet (as sums of powers modulo 2**64 do on Thue-Morse words); long ranges are hashed by BLAKE2. seed gives an independent hash.
+    """
+    n = len(starts)
+    if n == 0:
         return np.zeros(0, U64)
-    up, down = powers(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, U64)
-    np.cumsum((raw.astype(U64) + U64(1)) * up[: len(raw)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    eight = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+    size = ends - starts
+    out = mix((eight[starts] & _MASKS[np.minimum(size, 8)]) ^ (size.astype(U64) * BASE_INVERSE + U64(seed) * BASE))
+    live, done = np.flatnonzero((size > 8) & (size <= LONG_BYTES)), 8
+    while len(live):
+        left = size[live] - done
+        out[live] = mix((out[live] * BASE) ^ (eight[starts[live] + done] & _MASKS[np.minimum(left, 8)]))
+        live, done = live[left > 8], done + 8
+    salt = seed.to_bytes(8, "little")
+    for k in np.flatnonzero(size > LONG_BYTES):
+        out[k] = int.from_bytes(hashlib.blake2b(padded[starts[k] : ends[k]], digest_size=8, salt=salt).digest(), "little")
+    return out
 
 
 def word_spans(raw: np.ndarray, at: np.ndarray, spaces: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,21 +129,37 @@ def word_spans(raw: np.ndarray, at: np.ndarray, spaces: np.ndarray = SPACES) ->
     return starts, ends, np.searchsorted(starts, at)
 
 
-def words(raw: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def words(raw: np.ndarray, at: np.ndarray, lower: bool = False, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words and for each row the offset of its first word."""
     starts, ends, first = word_spans(raw, at)
-    return span_hashes(lower_ascii(raw) if lower else raw, starts, ends), first
+    return span_hashes(lower_ascii(raw) if lower else raw, starts, ends, seed), first
+
+
+def _doubled(values: np.ndarray, width: int) -> np.ndarray:
+    """From hashes of width consecutive values those of twice as many."""
+    return mix(values[:-width] * BASE + values[width:]) if len(values) > width else np.zeros(0, U64)
+
+
+def sequences(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of each sequence values[first:last], none empty: of its first and its last 2**j values, which cover it, and its length."""
+    size = (last - first).astype(np.int64)
+    out, level = np.zeros(len(size), U64), np.frexp(size.astype(float))[1] - 1
+    table, j = values, 0
+    while j <= (level.max() if len(level) else -1):
+        own = np.flatnonzero(level == j)
+        out[own] = mix((table[first[own]] * BASE_INVERSE) ^ (table[last[own] - (1 << j)] + size[own].astype(U64)))
+        table, j = _doubled(table, 1 << j), j + 1
+    return out
 
 
 def rolling(values: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each k consecutive values; rows must be told apart by the caller."""
-    n = len(values) - k + 1
+    """A hash of each k consecutive values, as sequences() gives it; rows must be told apart by the caller."""
+    n, table, width = len(values) - k + 1, values, 1
     if n <= 0:
         return np.zeros(0, U64)
-    up, down = powers(len(values) + 1)
-    sums = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mix((sums[k:] - sums[:n]) * down[:n] + U64(k))
+    while 2 * width <= k:
+        table, width = _doubled(table, width), 2 * width
+    return mix((table[:n] * BASE_INVERSE) ^ (table[k - width : k - width + n] + U64(k)))
 
 
 def signed(x: np.ndarray) -> np.ndarray:

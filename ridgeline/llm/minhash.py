@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm import _text
@@ -23,6 +23,8 @@ BANDS, ROWS = 40, 6
 CIRCLE = 1 << 20
 #: One-bit sketches of a pair at the threshold differ in 24 of 240 places, give or take 4.6; a pair beyond 52 is not verified.
 SKETCH_BITS, SKETCH_APART = 240, 52
+#: Words of a text up to which its set is named by two independent hashes.
+SMALL = 64
 #: Sets of each side that meet in one task of the exact comparison.
 BLOCK = 256
 _SIGMA = np.uint64(0xA24BAED4963EE407)
@@ -55,16 +57,21 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return _text.signed(key)
 
 
-def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
-    """For each row the sorted distinct shingle hashes of the whole text, words after lower-casing A to Z. Fewer words than a shingle: all of them as one; none or null: empty."""
+def shingle_sets(column: pa.Array, words: int, seed: int = 0, most: int | None = None) -> Iterator[np.ndarray]:
+    """For each row the sorted distinct shingle hashes of the whole text, words after lower-casing A to Z. Fewer words than a shingle: all of them as one; none or null: empty.
+
+    seed gives hashes independent of those of another seed; texts of more than `most` words are passed over, as empty.
+    """
     raw, at = _text.utf8(column)
     for first, last in _text.slices(at):
         part = at[first : last + 1] - at[first]
-        tokens, begin = _text.words(raw[at[first] : at[last]], part, lower=True)
+        tokens, begin = _text.words(raw[at[first] : at[last]], part, lower=True, seed=seed)
         grams = _text.rolling(tokens, words)
         for d in range(last - first):
             a, b = begin[d], begin[d + 1]
-            if b - a >= words:
+            if most is not None and b - a > most:
+                yield np.zeros(0, np.uint64)
+            elif b - a >= words:
                 yield np.unique(grams[a : b - words + 1])
             elif b > a:
                 yield _text.rolling(tokens[a:b], int(b - a))
@@ -72,17 +79,18 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def set_key(shingles: np.ndarray) -> bytes:
-    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+def set_key(shingles: np.ndarray, again: np.ndarray) -> bytes:
+    """A digest of the set; of a small one also by its hashes of another seed, since there one collision of two shingles would make two sets equal."""
+    return hashlib.blake2b(shingles.tobytes() + again.tobytes(), digest_size=16).digest()
 
 
 def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, keys, minima = [], [], []
-            for shingles in shingle_sets(batch.column(1), words):
+            for shingles, again in zip(shingle_sets(batch.column(1), words), shingle_sets(batch.column(1), words, seed=1, most=SMALL), strict=True):
                 counts.append(len(shingles))
-                keys.append(set_key(shingles))
+                keys.append(set_key(shingles, again))
                 minima.append(signature(shingles) if len(shingles) else np.zeros(BANDS * ROWS, np.uint32))
             n = len(counts)
             if not n:
@@ -259,9 +267,18 @@ def _possible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs without near copies: of each component the document with the smallest id stays, of rows that share its id one."""
-    kept = near_duplicates(docs, words, percent).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(1)))
-    n = f"{own_prefix(docs)}n"
-    named = docs.join(kept, "doc_id", "left_semi").withColumn(n, rank).filter(F.col(n) == 1).drop(n)
-    return named.select(columns(docs)).union(docs.filter("doc_id IS NULL").select(columns(docs)))
+    """docs without near copies: of each component the row with the smallest doc_id stays, a null one last, of rows that share it the one whose text has the smallest hash.
+
+    Rows are documents here: different texts under one doc_id, or without any, are linked by what they say and by nothing else. Rows without words all stay.
+    """
+    named = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").limit(1).count()
+    if not named:
+        kept = near_duplicates(docs, words, percent).filter("kept").select("doc_id")
+        return docs.join(kept, "doc_id", "left_semi").select(columns(docs))
+    p = own_prefix(docs)
+    row, component = f"{p}row", f"{p}component"
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias(row), F.col("component_id").alias(component))
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), row)
+    first = rows.select(row, place.alias(f"{p}place")).join(found, row).groupBy(component).agg(F.min_by(row, f"{p}place").alias(row)).select(row)
+    return rows.join(first, row, "left_semi").select(columns(docs))

@@ -228,9 +228,7 @@ class Encoder:
         ends = np.append(first[1:], len(points))
         row = np.searchsorted(starts, first, "right") - 1
         sizes = ends - first
-        up, down = _text.powers(len(points) + 1)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], dtype=np.uint64)))
-        names = _text.mix((sums[ends] - sums[first]) * down[first])
+        names = _text.span_hashes(points.view(np.uint8), 4 * first, 4 * ends)
         words, example, inverse = np.unique(names, return_index=True, return_inverse=True)
         lengths, where = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         at = np.minimum(np.searchsorted(self.met, words), max(0, len(self.met) - 1))

@@ -98,13 +98,13 @@ def recompress(tokens: np.ndarray, row: np.ndarray, rounds: int = ROUNDS) -> lis
     return levels
 
 
-def pieces(tokens: np.ndarray, begin: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
+def pieces(tokens: np.ndarray, second: np.ndarray, begin: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
     """Row, first window, number of windows, anchor key and span key of each piece: windows in a row that share an anchor.
 
     A window's anchor is the symbol of the highest level that the window's words alone decide, of these the one with the least hash, the leftmost among equals. So equal
     windows have equal anchors at equal places, wherever they stand. Every window has one, since a word is decided by itself. The anchor key names
-    level, words that decide the symbol, and its place in them. The span key names all words of the piece's windows and the anchor's place in them:
-    pieces with equal span keys have equal windows.
+    level, words that decide the symbol, and its place in them. The span key names all words of the piece's windows, by their second hashes, and the anchor's place in them:
+    pieces with equal anchor and span keys have equal windows by two independent hashes of their words.
     """
     n = len(tokens)
     counts = np.diff(begin)
@@ -147,12 +147,9 @@ def pieces(tokens: np.ndarray, begin: np.ndarray, window: int = WINDOW, rounds:
     fresh = np.concatenate(([True], (np.diff(at) != 1) | (start_of[at][1:] != start_of[at][:-1]) | (level_of[at][1:] != level_of[at][:-1])))
     p0 = at[fresh]
     sizes = np.diff(np.append(np.flatnonzero(fresh), len(at)))
-    up, down = _text.powers(n + 1)
-    sums = np.concatenate((np.zeros(1, U64), np.cumsum(tokens * up[:n], dtype=U64)))
-    words = lambda a, b: _text.mix((sums[b] - sums[a]) * down[a] + (b - a).astype(U64))
     place = (level_of[p0] << 20 | (start_of[p0] - low_of[p0])).astype(U64)
-    anchor = _text.mix(words(low_of[p0], high_of[p0]) + place * _PAIR)
-    span = _text.mix(words(p0, p0 + sizes + window - 1) + (start_of[p0] - p0).astype(U64) * _SIDE)
+    anchor = _text.mix(_text.sequences(tokens, low_of[p0], high_of[p0]) + place * _PAIR)
+    span = _text.mix(_text.sequences(second, p0, p0 + sizes + window - 1) + (start_of[p0] - p0).astype(U64) * _SIDE)
     return row[p0], p0 - begin[row[p0]], sizes, anchor, span
 
 
@@ -171,39 +168,41 @@ def _unpacked(column: pa.Array) -> list[bytes]:
     return [press.decompress(t.as_buffer()) for t in column]
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """First row, word hashes and offsets of each slice of texts in column 1."""
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """First row, word hashes, independent second hashes and offsets of each slice of texts in column 1."""
     raw, at = _text.utf8(batch.column(1))
     for a, b in _text.slices(at):
-        tokens, begin = _text.words(raw[at[a] : at[b]], at[a : b + 1] - at[a])
-        yield a, tokens, begin
+        part = raw[at[a] : at[b]]
+        starts, ends, begin = _text.word_spans(part, at[a : b + 1] - at[a])
+        yield a, _text.span_hashes(part, starts, ends), _text.span_hashes(part, starts, ends, seed=1), begin
 
 
 def _pieces(window: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for a, tokens, begin in _slices(batch):
-                row, at, sizes, anchor, span = pieces(tokens, begin, window, rounds)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + a)), pa.array(at * 64 + sizes), pa.array(_text.signed(anchor)), pa.array(_text.signed(span))], names=["doc_id", "piece", "anchor", "span"])
+            for a, tokens, second, begin in _slices(batch):
+                row, at, sizes, anchor, span = pieces(tokens, second, begin, window, rounds)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + a)), pa.array(at * (window + 1) + sizes), pa.array(_text.signed(anchor)), pa.array(_text.signed(span))], names=["doc_id", "piece", "anchor", "span"])
             _text.release()
 
     return run
 
 
 def _windows(window: int):
+    unit = window + 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column(2).to_pylist()
             texts = pa.array(_unpacked(batch.column(1)), pa.large_binary()).cast(pa.large_string())
             plain = pa.RecordBatch.from_arrays([batch.column(0), texts], names=["doc_id", "text"])
-            for a, tokens, begin in _slices(plain):
-                grams = _text.rolling(tokens, window)
-                second = _text.rolling(_text.mix(tokens ^ _RUN), window)
+            for a, tokens, second, begin in _slices(plain):
+                grams, others = _text.rolling(tokens, window), _text.rolling(second, window)
                 who, at, weight = [], [], []
                 for k in range(len(begin) - 1):
                     for w in wanted[a + k]:
-                        p = np.arange(w["piece"] // 64, w["piece"] // 64 + w["piece"] % 64)
+                        p = w["piece"] // unit + np.arange(w["piece"] % unit)
                         who.append(np.full(len(p), a + k))
                         at.append(p)
                         weight.append(np.full(len(p), w["weight"]))
@@ -211,7 +210,7 @@ def _windows(window: int):
                     continue
                 who, at, weight = np.concatenate(who), np.concatenate(at), np.concatenate(weight)
                 p = begin[who - a] + at
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), pa.array(at.astype(np.int32)), pa.array(weight.astype(np.int32)), pa.array(_text.signed(grams[p])), pa.array(_text.signed(second[p]))], names=["doc_id", "at", "weight", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), pa.array(at.astype(np.int32)), pa.array(weight.astype(np.int32)), pa.array(_text.signed(grams[p])), pa.array(_text.signed(others[p]))], names=["doc_id", "at", "weight", "h1", "h2"])
 
     return run
 
@@ -220,6 +219,8 @@ KEPT = "doc_id long, n_words long, n_removed long, kept string"
 
 
 def _removed(window: int):
+    unit = window + 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ranges, counts, gone, kept = batch.column(2).to_pylist(), [], [], []
@@ -228,8 +229,8 @@ def _removed(window: int):
                 starts, ends, _ = _text.word_spans(raw, np.array([0, len(raw)]))
                 step = np.zeros(len(starts) + 1, np.int64)
                 for r in found or ():
-                    step[r // 64] += 1
-                    step[r // 64 + r % 64 + window - 1] -= 1
+                    step[r // unit] += 1
+                    step[r // unit + r % unit + window - 1] -= 1
                 stays = np.flatnonzero(np.cumsum(step[:-1]) == 0)
                 counts.append(len(starts))
                 gone.append(len(starts) - len(stays))
@@ -267,7 +268,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) ->
     windows = packed.join(asked, "doc_id").select("doc_id", "packed", "wanted").mapInArrow(_windows(window), "doc_id long, at int, weight int, h1 long, h2 long")
     windows = materialize(windows)
     again = materialize(windows.groupBy("h1", "h2").agg(F.sum("weight").alias("n")).filter("n > 1").select("h1", "h2"))
-    singles = windows.filter("weight = 1").join(again, ["h1", "h2"], "left_semi").select("doc_id", (F.col("at").cast("long") * 64 + 1).alias("piece"))
+    singles = windows.filter("weight = 1").join(again, ["h1", "h2"], "left_semi").select("doc_id", (F.col("at").cast("long") * (window + 1) + 1).alias("piece"))
     repeated = singles.union(judged.filter("copies > 1").select("doc_id", "piece")).groupBy("doc_id").agg(F.collect_list("piece").alias("repeated"))
     out = packed.join(repeated, "doc_id", "left").select("doc_id", "packed", "repeated").mapInArrow(_removed(window), KEPT)
     if not unique:

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ridgeline.llm import ann, langid, licenses, media, minhash, pieces, queries, substring, toxicity
+from ridgeline.llm import _text, ann, langid, licenses, media, minhash, pieces, queries, substring, toxicity
 
 
 def near_copies(seed, groups=12, copies=9):
@@ -249,3 +249,64 @@ def test_evidence_counts_every_word_of_every_document(spark):
     _, known = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
     bad = next(toxicity.words(pa.array(["bad"])))[3][0]
     assert {x.key: x.evidence for x in known.collect()} == {bad: pytest.approx((2 * 10 * np.log(4)) ** 0.5)}
+
+
+def thue_morse(n, first="a", second="b"):
+    return "".join((first, second)[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_sums_of_powers_confuse(spark, n):
+    """Thue-Morse words and their complements have equal sums of powers modulo 2**64 for every base."""
+    one, other = thue_morse(n), thue_morse(n, "b", "a")
+    around = [f"w{i}" for i in range(40)]
+    texts = [" ".join([*around[:20], word, *around[20:]]) for word in (one, other, one)] + [one, other, " ".join(one), " ".join(other)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: tuple(r)[1:] for r in substring.digest(substring.drop_repeats(docs)).collect()}
+    assert found == dict(enumerate(substring.brute_force(texts)))
+    for k in (4, 5, 50):
+        linked = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, k).collect()}
+        assert linked == brute_components(texts, k)
+    assert all(r.decoded_equal for r in pieces.encode_texts(docs).collect())
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.DEFAULT_MODEL)
+    assert pieces.Encoder(pieces.load()).encode(pa.array(texts)).to_pylist() == [model.encode(t) for t in texts]
+
+
+def test_hashes_tell_apart_what_differs():
+    r = random.Random(6)
+    words = list({"".join(r.choice("ab\0") for _ in range(r.randint(1, 70))) for _ in range(20_000)}) + [thue_morse(64, *p) for p in ("ab", "ba")]
+    raw = np.frombuffer("".join(words).encode(), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    starts = ends - [len(w) for w in words]
+    for seed in (0, 1):
+        assert len(np.unique(_text.span_hashes(raw, starts, ends, seed))) == len(set(words))
+    tokens = _text.span_hashes(raw, starts, ends)[[int(c) for c in thue_morse(4096, "0", "1")]]
+    first, last = np.array([0, 2048, 0, 1024]), np.array([2048, 4096, 1024, 2048])
+    assert len(np.unique(_text.sequences(tokens, first, last))) == 4
+    for k in (1, 2, 3, 5, 35, 64):
+        assert (_text.rolling(tokens, k) == _text.sequences(tokens, np.arange(4097 - k), np.arange(k, 4097))).all()
+
+
+@pytest.mark.parametrize("window", [1, 2, 64, 100])
+def test_windows_of_any_length(spark, window):
+    r = random.Random(window)
+    base = [r.choice(["a", "b", "c"]) + str(r.randrange(9)) for _ in range(400)]
+    texts = [" ".join(base[:250]), " ".join(["x", *base[100:]]), " ".join(base[r.randrange(200) :][:150]), "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: tuple(r)[1:] for r in substring.digest(substring.drop_repeats(docs, window)).collect()}
+    assert found == dict(enumerate(substring.brute_force(texts, window)))
+
+
+def test_texts_under_one_doc_id_are_documents_of_their_own(spark):
+    same = "one two three four five six seven eight nine ten"
+    rows = [(7, same, "a"), (7, "another text altogether that shares no words with it", "b"), (7, same + " ", "c"), (None, same, "d"), (None, "only here without an id", "e"), (3, "x y z", "f"), (3, None, "g"), (3, "", "h"), (9, same, "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, which string")
+    for parts in (1, 5):
+        kept = minhash.keep_one(docs.repartition(parts))
+        assert kept.columns == docs.columns
+        found = sorted(r.which for r in kept.collect())
+        assert found in (["a", "b", "e", "f", "g", "h"], ["b", "c", "e", "f", "g", "h"])
+        assert parts == 1 or found == before
+        before = found
