@@ -98,6 +98,19 @@ def recompress(tokens: np.ndarray, row: np.ndarray, rounds: int = ROUNDS) -> lis
     return levels
 
 
+def _least(rank: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The place of the least of rank[first:last], the leftmost among equals; no range is empty. Each is covered by two ranges of a power of two."""
+    out, level = np.zeros(len(first), np.int64), np.frexp((last - first).astype(float))[1] - 1
+    table, j = np.arange(len(rank)), 0
+    while j <= (level.max() if len(level) else -1):
+        own = np.flatnonzero(level == j)
+        a, b = table[first[own]], table[last[own] - (1 << j)]
+        out[own] = np.where(rank[a] <= rank[b], a, b)
+        a, b = table[: -(1 << j)], table[1 << j :]
+        table, j = np.where(rank[a] <= rank[b], a, b), j + 1
+    return out
+
+
 def pieces(tokens: np.ndarray, second: np.ndarray, begin: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
     """Row, first window, number of windows, anchor key and span key of each piece: windows in a row that share an anchor.
 
@@ -112,35 +125,21 @@ def pieces(tokens: np.ndarray, second: np.ndarray, begin: np.ndarray, window: in
     none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U64, U64))
     if n < window:
         return none
-    last = np.repeat(begin[1:] - window, counts)  # the last window of each word's text
-    first = np.repeat(begin[:-1], counts)
-    open_ = np.arange(n) <= last
+    at = np.arange(n)
+    todo = np.flatnonzero(at <= np.repeat(begin[1:] - window, counts))  # places where a window starts
+    edge_low, edge_high = np.repeat(begin[:-1], counts) - 1, np.repeat(begin[1:], counts) + 1
     low_of, high_of = np.full(n, -1), np.full(n, -1)
     start_of, level_of = np.full(n, -1), np.full(n, -1)
     levels = recompress(tokens, row, rounds)
     for level in range(len(levels) - 1, -1, -1):
         s = levels[level]
-        lo = np.maximum(s.high - window, first[s.start])
-        hi = np.minimum(s.low, last[s.start])
-        use = np.flatnonzero(lo <= hi)
-        if not len(use) or not open_.any():
-            continue
-        rank = _text.mix(s.name[use] ^ U64(level))
-        best, owner = np.full(n, np.iinfo(U64).max, U64), np.full(n, n)
-        width = hi[use] - lo[use]
-        for pass_ in range(2):
-            for k in range(int(width.max()) + 1):
-                some = np.flatnonzero(width >= k)
-                p = lo[use[some]] + k
-                if pass_ == 0:
-                    np.minimum.at(best, p, rank[some])
-                else:
-                    own = best[p] == rank[some]
-                    np.minimum.at(owner, p[own], use[some[own]])
-        got = np.flatnonzero(open_ & (owner < n))
-        o = owner[got]
+        # both bounds grow along the symbols, so those that a window decides are neighbours
+        lo = np.searchsorted(np.maximum(s.low, edge_low[s.start]), todo, "left")
+        hi = np.searchsorted(np.minimum(s.high, edge_high[s.start]), todo + window, "right")
+        some = np.flatnonzero(lo < hi)
+        got, o = todo[some], _least(_text.mix(s.name ^ U64(level)), lo[some], hi[some])
         low_of[got], high_of[got], start_of[got], level_of[got] = s.low[o], s.high[o], s.start[o], level
-        open_[got] = False
+        todo = todo[lo >= hi]
     at = np.flatnonzero(level_of >= 0)
     if not len(at):
         return none
