@@ -104,18 +104,64 @@ def test_pieces_equal_the_library():
     assert all(b == t for b, t in zip(back, texts, strict=True) if "▁" not in t)
 
 
-def test_ann_recall(spark):
-    r = np.random.default_rng(4)
-    x = r.normal(size=(9000, 16))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+def _unit(n, d, seed=4):
+    x = np.random.default_rng(seed).normal(size=(n, d))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("n", [500, 2000, 9000])
+def test_ann_recall_while_pruning(spark, n):
+    """The worst case: vectors without any structure. Ranks and scores are those of brute force among what is found."""
+    x = _unit(n, 64)
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    rows = ann.search(table, table.filter("vec_id % 100 = 0")).collect()
+    asked = range(0, n, max(20, n // 40))
+    rows = ann.search(table, table.filter(F.col("vec_id").isin(list(asked)))).collect()
     hits = 0
-    for q in range(0, 9000, 100):
-        scores = x @ x[q]
+    for q in asked:
+        scores = (x * x[q]).sum(axis=1)
+        scores[q] = -9
+        own = sorted((row.rank, row.vec_id, row.score) for row in rows if row.query_id == q)
+        assert [r for r, _, _ in own] == list(range(1, 21)) and q not in [v for _, v, _ in own]
+        assert all(abs(s - scores[v]) < 1e-12 for _, v, s in own)
+        assert [v for _, v, _ in own] == sorted((v for _, v, _ in own), key=lambda v: (-scores[v], v))
+        hits += len(set(np.argsort(-scores)[:20].tolist()) & {v for _, v, _ in own})
+    assert hits / (len(asked) * 20) >= 0.9
+    # no index of a few cells that visits them all
+    first, second = ann.kmeans(x[:, :32], ann.CENTROIDS, 1), ann.kmeans(x[:, 32:], ann.CENTROIDS, 2)
+    cell = ann.cell_of(first, second, x)
+    sizes = np.bincount(cell, minlength=len(first) * len(second))
+    visited = ann.traverse(-(first @ x[0, :32]), -(second @ x[0, 32:]), sizes, ann.PROBE_SHARE * n)
+    assert sizes[visited].sum() <= ann.PROBE_SHARE * n + sizes.max()
+
+
+def test_ann_finds_all_where_structure_is(spark):
+    """Groups of neighbours: a small share of the rows is enough. Every length of vectors has its own index."""
+    r = np.random.default_rng(1)
+    centres = _unit(60, 16, 2)
+    x = np.repeat(centres, 40, axis=0) + 0.01 * r.normal(size=(2400, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9000 + i, v.tolist()) for i, v in enumerate(_unit(30, 3, 5))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = ann.search(table, table.filter("vec_id % 100 = 0"), share=0.05).collect()
+    for q in range(0, 2400, 100):
+        scores = (x * x[q]).sum(axis=1)
         scores[q] = -9
-        hits += len(set(np.argsort(-scores)[:20].tolist()) & {row.vec_id for row in rows if row.query_id == q})
-    assert hits / (90 * 20) >= 0.9
+        assert [row.vec_id for row in sorted(found, key=lambda t: t.rank) if row.query_id == q] == np.lexsort((np.arange(2400), -scores))[:20].tolist()
+    assert sorted(r.rank for r in found if r.query_id == 9000)[0] == 1 and all(r.vec_id >= 9000 for r in found if r.query_id == 9000)
+
+
+def test_shards_hold_neighbouring_cells(monkeypatch):
+    monkeypatch.setattr(ann, "SHARD_ROWS", 10)
+    r = np.random.default_rng(0)
+    for _ in range(50):
+        sizes = r.choice([0, 1, 3, 9, 10, 11, 25, 70], 36)
+        index = ann.layout(np.zeros((6, 1)), np.zeros((6, 1)), sizes)
+        rows = {}
+        for cell in range(36):
+            for part in range(index.parts[cell]):
+                shard = index.base[cell] + part
+                assert index.low[shard] <= cell < max(index.low[shard] + 1, index.low[shard + 1])
+                rows[shard] = rows.get(shard, 0) + -(-sizes[cell] // index.parts[cell])
+        assert max(rows.values()) <= 10
 
 
 def test_cells_are_visited_by_summed_distance():
