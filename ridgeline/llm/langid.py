@@ -12,25 +12,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm import _text
+from ridgeline.llm._store import columns, materialize, own_prefix
 
 #: Hash buckets of the n-grams, lengths of the n-grams, added count.
 BUCKETS, LENGTHS, ALPHA = 1 << 14, (1, 2, 3), 0.5
 #: The classifier is fitted on a sample of about so many labelled rows of each language, drawn by a hash of doc_id.
 SAMPLE_ROWS = 4000
-#: The model is an array of languages x BUCKETS, broadcast; more languages than this are refused.
-MOST_LANGUAGES = 256
+#: The model is an array of languages x BUCKETS, broadcast; languages beyond so many are scored in further passes, so that its size is bounded.
+BLOCK_LANGUAGES = 256
 UNKNOWN = "und"
 BLOCK_BYTES = 256 << 10
 _STEP = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
 @dataclass(frozen=True)
-class Model:
+class Block:
+    """What has been learned of some languages."""
+
     languages: tuple[str, ...]
     log_probability: np.ndarray  # languages x BUCKETS
     log_prior: np.ndarray
 
 
+@dataclass(frozen=True)
+class Model:
+    """All languages, and what to learn them from; blocks are learned when they are used, one at a time."""
+
+    languages: tuple[str, ...]
+    rows: np.ndarray  # labelled rows of each
+    docs: DataFrame
+    sample_rows: int
+
+    def blocks(self) -> Iterator[Block]:
+        for first in range(0, len(self.languages), BLOCK_LANGUAGES):
+            yield self._block(slice(first, first + BLOCK_LANGUAGES))
+
+    def _block(self, part: slice) -> Block:
+        names, rows = self.languages[part], self.rows[part]
+        share = F.create_map(*[x for name, n in zip(names, rows.tolist(), strict=True) for x in (F.lit(name), F.lit(int(1_000_000 * min(1.0, self.sample_rows / n))))])
+        index = F.create_map(*[x for i, name in enumerate(names) for x in (F.lit(name), F.lit(i))])
+        # labels of other blocks are not in the map, and a null is no sample
+        sample = self.docs.filter(F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1_000_000)) < F.try_element_at(share, F.col("lang")))
+        counted = sample.select(F.try_element_at(index, F.col("lang")).alias("language"), "text").mapInArrow(_counts, "language int, bucket int, n long")
+        summed = counted.groupBy("language", "bucket").agg(F.sum("n").alias("n")).toArrow()
+        n = np.zeros((len(names), BUCKETS))
+        n[summed["language"].to_numpy(), summed["bucket"].to_numpy()] = summed["n"].to_numpy()
+        n += ALPHA
+        return Block(names, np.log(n / n.sum(axis=1, keepdims=True)), np.log(rows / self.rows.sum()))
+
+
 @lru_cache(maxsize=1)
 def _alphabet() -> np.ndarray:
     """For each code point its lower-case letter, 0 if it is no letter."""
@@ -90,33 +120,20 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """docs: doc_id, text, lang. Rows whose lang is null teach nothing. The sample is bounded by sample_rows for each language; only sums of counts come to the driver."""
+    """docs: doc_id, text, lang. Rows whose lang is null teach nothing. The sample is bounded by sample_rows for each language; only the languages and, block by block, sums of counts come to the driver."""
     docs = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
-    rows = sorted(docs.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect(), key=lambda r: r["lang"])
-    if len(rows) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not rows:
-        return Model((), np.zeros((0, BUCKETS)), np.zeros(0))
-    share = F.create_map(*[x for r in rows for x in (F.lit(r["lang"]), F.lit(int(1_000_000 * min(1.0, sample_rows / r["count"]))))])
-    index = F.create_map(*[x for i, r in enumerate(rows) for x in (F.lit(r["lang"]), F.lit(i))])
-    sample = docs.filter(F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
-    counted = sample.select(index[F.col("lang")].alias("language"), "text").mapInArrow(_counts, "language int, bucket int, n long")
-    summed = counted.groupBy("language", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    n = np.zeros((len(rows), BUCKETS))
-    n[summed["language"].to_numpy(), summed["bucket"].to_numpy()] = summed["n"].to_numpy()
-    n += ALPHA
-    prior = np.array([r["count"] for r in rows], float)
-    return Model(tuple(r["lang"] for r in rows), np.log(n / n.sum(axis=1, keepdims=True)), np.log(prior / prior.sum()))
-
-
-def classify(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
-    """Language and posterior probability for each whole text; UNKNOWN and 0 where it is null or holds no letter."""
-    named, scores = [], []
-    k = len(model.languages)
+    rows = sorted(docs.groupBy("lang").count().collect(), key=lambda r: r["lang"])
+    return Model(tuple(r["lang"] for r in rows), np.array([r["count"] for r in rows], float), docs, sample_rows)
+
+
+def classify(block: Block, column: pa.Array) -> tuple[list[str | None], np.ndarray, np.ndarray]:
+    """For each whole text the likeliest of the block's languages, its log-probability and that of all of them together; None and minus infinity where it is null or holds no letter."""
+    named, tops, masses = [], [], []
+    k = len(block.languages)
     for first, last, raw, at in _blocks(column):
         n = last - first
         rows, buckets, letters = grams(raw, at)
-        total = np.tile(model.log_prior, (n, 1))
+        total = np.tile(block.log_prior, (n, 1))
         # a long run of rows would make the counts dense in memory, so they are taken a few rows at a time
         step = 64
         order = np.argsort(rows, kind="stable")
@@ -129,28 +146,44 @@ def classify(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray]:
             cells = np.flatnonzero(counts)
             row, bucket, weight = cells // BUCKETS + low, cells % BUCKETS, counts[cells]
             for c in range(k):
-                total[:, c] += np.bincount(row, weight * model.log_probability[c, bucket], minlength=n)
-        if not k:
-            named += [UNKNOWN] * n
-            scores.append(np.zeros(n))
-            continue
+                total[:, c] += np.bincount(row, weight * block.log_probability[c, bucket], minlength=n)
         best = total.argmax(axis=1)
         top = total[np.arange(n), best]
-        share = 1 / np.exp(total - top[:, None]).sum(axis=1)
-        named += [model.languages[c] if x else UNKNOWN for c, x in zip(best, letters, strict=True)]
-        scores.append(np.where(letters > 0, share, 0.0))
-    return named, np.concatenate(scores) if scores else np.zeros(0)
+        mass = top + np.log(np.exp(total - top[:, None]).sum(axis=1))
+        named += [block.languages[c] if x else None for c, x in zip(best, letters, strict=True)]
+        tops.append(np.where(letters > 0, top, -np.inf))
+        masses.append(np.where(letters > 0, mass, -np.inf))
+    return named, np.concatenate(tops) if tops else np.zeros(0), np.concatenate(masses) if masses else np.zeros(0)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score. Only the text is an input; null texts and texts without a letter get `und` and 0. Columns of docs by these names are replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_LANGUAGES x BUCKETS numbers
-
-    def run(column: pa.Array) -> list[pa.Array]:
-        named, scores = classify(shared.value, column)
-        return [pa.array(named, pa.string()), pa.array(scores, pa.float64())]
-
-    return _text.append(docs, text, "lang_pred string, score double", run)
+    """docs with lang_pred and score, the posterior probability. Only the text is an input; null texts and texts without a letter get `und` and 0, as does every text where no language was learned. Columns of docs by these names are replaced.
+
+    Languages are scored in blocks of BLOCK_LANGUAGES. With several blocks the texts are read once for each, and the maxima and the sums of
+    probabilities are merged, which gives what one block of all languages would; ties go to the first language by name.
+    """
+    out = docs.drop("lang_pred", "score")
+    p = own_prefix(out)
+    lang, top, mass = (F.col(f"{p}{c}") for c in ("lang", "top", "mass"))
+    out = out.withColumns({f"{p}lang": F.lit(None).cast("string"), f"{p}top": F.lit(float("-inf")), f"{p}mass": F.lit(float("-inf"))})
+    blocks = -(-len(model.languages) // BLOCK_LANGUAGES)
+    for i, block in enumerate(model.blocks()):
+        shared = docs.sparkSession.sparkContext.broadcast(block)  # at most BLOCK_LANGUAGES x BUCKETS numbers
+
+        def run(column: pa.Array, shared=shared) -> list[pa.Array]:
+            named, tops, masses = classify(shared.value, column)
+            return [pa.array(named, pa.string()), pa.array(tops, pa.float64()), pa.array(masses, pa.float64())]
+
+        out = _text.append(out, text, f"{p}new_lang string, {p}new_top double, {p}new_mass double", run)
+        better, high = F.col(f"{p}new_top") > top, F.greatest(mass, F.col(f"{p}new_mass"))
+        both = F.when(mass == float("-inf"), F.col(f"{p}new_mass")).otherwise(high + F.log1p(F.exp(F.least(mass, F.col(f"{p}new_mass")) - high)))
+        out = out.withColumns({f"{p}lang": F.when(better, F.col(f"{p}new_lang")).otherwise(lang), f"{p}top": F.greatest(top, F.col(f"{p}new_top")), f"{p}mass": both})
+        out = out.drop(f"{p}new_lang", f"{p}new_top", f"{p}new_mass")
+        if i + 1 < blocks:
+            out = materialize(out)
+    score = F.when(lang.isNull(), F.lit(0.0)).otherwise(F.exp(top - mass))
+    kept = [c for c, name in zip(columns(docs), docs.columns, strict=True) if name not in ("lang_pred", "score")]
+    return out.select(*kept, F.coalesce(lang, F.lit(UNKNOWN)).alias("lang_pred"), score.alias("score"))
 
 
 def fold(column: Column, parts: int) -> Column:

@@ -180,6 +180,40 @@ def test_language_held_out(spark, data):
     assert found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.9
 
 
+def plain_bayes(rows, asked):
+    """Language and posterior by the formula, a text at a time; rows: text and language."""
+    counts, prior = {}, {}
+    for text, lang in rows:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        counts.setdefault(lang, np.full(langid.BUCKETS, langid.ALPHA))
+        prior[lang] = prior.get(lang, 0) + 1
+        np.add.at(counts[lang], langid.grams(raw, np.array([0, len(raw)]))[1], 1)
+    out = []
+    for text in asked:
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        _, buckets, letters = langid.grams(raw, np.array([0, len(raw)]))
+        if not letters[0]:
+            out.append(("und", 0.0))
+            continue
+        scores = {c: np.log(prior[c] / len(rows)) + np.log(n[buckets] / n.sum()).sum() for c, n in sorted(counts.items())}
+        best = max(scores, key=lambda c: scores[c])
+        out.append((best, 1 / sum(np.exp(min(0, s - scores[best])) for s in scores.values())))
+    return out
+
+
+@pytest.mark.parametrize("languages", [3, 300])
+def test_language_equals_plain_bayes(spark, languages):
+    """Any number of labels: 300 are scored in two blocks."""
+    r = random.Random(languages)
+    syllables = ["".join(r.choice("bcdfglmnprstvàéñжю") for _ in range(2)) + r.choice("aeiou") for _ in range(400)]
+    rows = [(i, " ".join(r.choice(syllables[i % languages : i % languages + 40]) for _ in range(r.randint(1, 30))), f"l{i % languages:03d}" if i % 7 else None) for i in range(900)] + [(900, None, "l001"), (901, "12 !", "l002"), (902, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    expected = plain_bayes([(t, c) for _, t, c in rows if c and t is not None], [t for _, t, _ in rows])
+    found = {x.doc_id: x for x in langid.predict(docs, langid.fit(docs)).collect()}
+    assert [found[i].lang_pred for i in range(903)] == [e[0] for e in expected]
+    assert all(abs(found[i].score - e[1]) < 1e-9 for i, e in enumerate(expected))
+
+
 def test_toxicity_held_out(spark):
     r = random.Random(8)
     usual, rude = ["kala", "mitu", "sorna", "velo", "pirta", "onde"], ["grubzk", "zgorx"]
