@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm._store import columns, materialize, own_prefix
 
-#: A line is boilerplate of a site if it stands on more than RATIO of the site's pages and on at least LEAST_PAGES of them.
-RATIO, LEAST_PAGES = 0.05, 5
+#: A line is boilerplate of a site if it stands on more than this share of the site's pages. A line of one page repeats nothing, so two pages are the least at any size.
+RATIO = 0.05
 
 #: Elements whose content is no text, and elements that end a line.
 HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>"
@@ -32,7 +32,7 @@ def html_lines(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?: ?\n ?)+", "\n"), r"^[\n ]+|[\n ]+$", "")
 
 
-def boilerplate(pages: DataFrame, site: str, text: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES, once: bool = False) -> DataFrame:
+def boilerplate(pages: DataFrame, site: str, text: str, ratio: float = RATIO, once: bool = False) -> DataFrame:
     """site, hashes: the line hashes that exceed the ratio. A site has fewer of them than its mean number of lines divided by ratio, so its list is bounded however many pages it has.
 
     once: pages of a site with the same text count as one page, so that a page copied often does not make its own lines boilerplate.
@@ -46,13 +46,13 @@ def boilerplate(pages: DataFrame, site: str, text: str, ratio: float = RATIO, le
     else:
         lines = known.select(F.col(site).alias("site"), line)
         every = pages.filter(F.col(site).isNotNull()).select(F.col(site).alias("site"))
-    lines = lines.groupBy("site", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
+    lines = lines.groupBy("site", "line").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
     totals = every.groupBy("site").agg(F.count("*").alias("pages"))
     over = lines.join(totals, "site").filter(F.col("n") > F.col("pages") * F.lit(ratio))
     return over.groupBy("site").agg(F.collect_set("line").alias("hashes"))
 
 
-def drop_boilerplate(pages: DataFrame, site: str, text: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES, once: bool = False) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, site: str, text: str, ratio: float = RATIO, once: bool = False) -> DataFrame:
     """pages with text cleaned of its site's boilerplate lines, and n_lines and n_dropped added.
 
     A line is compared as it stands, between newlines; each page counts once for a line it repeats. Every page stays, with an empty text if
@@ -62,7 +62,7 @@ def drop_boilerplate(pages: DataFrame, site: str, text: str, ratio: float = RATI
     """
     pages = pages.drop("n_lines", "n_dropped")
     p = own_prefix(pages)
-    known = materialize(boilerplate(pages, site, text, ratio, least_pages, once)).withColumnsRenamed({"site": f"{p}site", "hashes": f"{p}hashes"})
+    known = materialize(boilerplate(pages, site, text, ratio, once)).withColumnsRenamed({"site": f"{p}site", "hashes": f"{p}hashes"})
     joined = pages.join(known, F.col(site) == F.col(f"{p}site"), "left")
     lines = F.split(F.col(text), "\n", -1)
     kept = F.filter(lines, lambda line: ~F.array_contains(F.col(f"{p}hashes"), F.xxhash64(line)))

@@ -118,7 +118,7 @@ WITH p AS (SELECT page_id, nullif(lower(regexp_extract(url, '{lines.HOST}', 1)),
 q AS (SELECT *, string_split(text, chr(10)) AS l FROM p),
 f AS (SELECT host, unnest(list_distinct(l)) AS line FROM q WHERE host IS NOT NULL),
 n AS (SELECT host, count(*) AS pages FROM p WHERE host IS NOT NULL GROUP BY host),
-b AS (SELECT host, list(line) AS known FROM (SELECT host, line, count(*) AS k FROM f GROUP BY host, line) JOIN n USING (host) WHERE k >= {lines.LEAST_PAGES} AND k > pages * {lines.RATIO}::DOUBLE GROUP BY host),
+b AS (SELECT host, list(line) AS known FROM (SELECT host, line, count(*) AS k FROM f GROUP BY host, line) JOIN n USING (host) WHERE k > 1 AND k > pages * {lines.RATIO}::DOUBLE GROUP BY host),
 k AS (SELECT page_id, q.host, l, CASE WHEN known IS NULL THEN l ELSE [x FOR x IN l IF NOT list_contains(known, x)] END AS kept FROM q LEFT JOIN b ON q.host = b.host)
 SELECT page_id, host, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(len(l) - len(kept), 0)::BIGINT AS n_dropped, CASE WHEN kept IS NULL THEN NULL ELSE coalesce(array_to_string(kept, chr(10)), '') END AS text FROM k"""
 

@@ -157,6 +157,17 @@ def test_lines(docs, nothing):
     assert {(r["_kept"], r["__hashes"]) for r in lines.drop_boilerplate(docs, "source", "text").collect()} == {(1, 1)}
 
 
+@pytest.mark.parametrize("pages", [1, 2, 3, 10, 100])
+def test_the_ratio_alone_decides(spark, pages):
+    """At any size of a site: more than a twentieth of the pages, and a line of one page is no repetition."""
+    rows = [(i, "s", "\n".join(["everywhere", *(["half"] if i % 2 else []), *(["twice"] if i < 2 else []), f"own {i}"])) for i in range(pages)]
+    found = {r.page: r.text.split("\n") for r in lines.drop_boilerplate(spark.createDataFrame(rows, "page long, site string, text string"), "site", "text").collect()}
+    for line in ("everywhere", "half", "twice"):
+        n = sum(line in r[2].split("\n") for r in rows)
+        assert sum(line in t for t in found.values()) == (0 if n > 1 and n > lines.RATIO * pages else n)
+    assert all(f"own {i}" in found[i] for i in range(pages))
+
+
 def test_stages_keep_the_columns_of_documents(docs, nothing):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(docs.sparkSession, docs, "")
