@@ -14,11 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.llm._store import materialize
+
 #: Payload bytes are padded with zeros to a multiple of the image's width and stored as 8-bit grey samples.
 WIDTH = 64
 PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
 SCHEME = "media:"
-ITEMS = "items array<struct<position: int, kind: string, text: string, digest: string, caption: string>>"
+ITEM = ("position", "kind", "text", "digest", "source", "alt", "caption")
+ITEMS = "items array<struct<position: int, kind: string, text: string, digest: string, source: string, alt: string, caption: string>>"
 
 
 # ---- the stored form: PNG, one grey byte a sample, no filter, so samples are the payload's bytes
@@ -71,77 +74,132 @@ def feature(payload: bytes) -> str:
     share = share[share > 0]
     rows = x.reshape(-1, WIDTH).astype(np.int16)
     step = float(np.abs(np.diff(rows, axis=0)).mean()) if len(rows) > 1 else 0.0
-    return f"h={len(rows)};mean={x.mean():.4f};sd={x.std():.4f};entropy={-(share * np.log2(share)).sum():.4f};step={step:.4f}"
+    return f"h={len(rows)};mean={x.mean():.4f};sd={x.std():.4f};entropy={0.0 - (share * np.log2(share)).sum():.4f};step={step:.4f}"
 
 
 # ---- interleaved sequences
 
 
+class _Figure:
+    def __init__(self):
+        self.media: list[dict] = []
+        self.caption: list[str] = []
+        self.in_caption = False
+
+
 class _Sequence(HTMLParser):
     """Ordered items of a page: runs of text, and media references with their captions."""
 
-    SILENT = frozenset({"script", "style", "head", "title", "noscript", "template"})
-    BREAKS = frozenset({"p", "div", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "td", "figure", "figcaption", "article", "section", "nav", "ul", "ol", "body", "blockquote", "pre"})
-    MEDIA = frozenset({"img", "audio", "video", "source"})
+    #: What may stand in a head: anything else ends it, as end tags may be left out. What is never shown. What ends a run of text. What refers to media.
+    HEAD = frozenset({"base", "link", "meta", "noscript", "script", "style", "template", "title"})
+    SILENT = frozenset({"noscript", "script", "style", "template", "title"})
+    BREAKS = frozenset({"article", "aside", "blockquote", "body", "br", "dd", "div", "dl", "dt", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul"})
+    MEDIA = frozenset({"audio", "img", "source", "video"})
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
-        self.silent, self.caption, self.figure = 0, False, -1
+        self.head, self.open = False, False
+        self.silent: list[str] = []
+        self.figures: list[_Figure] = []
+
+    def parse_marked_section(self, i, report=1):
+        """`<![` opens a comment up to the next `>` in a page; the base class raises on most of these."""
+        return self.parse_bogus_comment(i)
 
     def handle_starttag(self, tag, attrs):
+        if tag == "head":
+            self.head = True
+            return
+        if self.head and tag not in self.HEAD and not {"noscript", "template"}.intersection(self.silent):
+            self._shown()
         if tag in self.SILENT:
-            self.silent += 1
+            self.silent.append(tag)
         if tag in self.BREAKS:
-            self._close()
+            self._break()
         if tag == "figure":
-            self.figure = len(self.items)
-        self.caption = tag == "figcaption" or (self.caption and tag not in self.BREAKS)
-        if tag in self.MEDIA and (source := dict(attrs).get("src")):
-            known = source.startswith(SCHEME)
-            self.items.append({"kind": tag, "text": None, "digest": source.removeprefix(SCHEME) if known else None, "caption": dict(attrs).get("alt")})
+            self.figures.append(_Figure())
+        if tag == "figcaption" and self.figures:
+            self.figures[-1].in_caption = True
+        if tag in self.MEDIA and not self.silent and (source := dict(attrs).get("src")):
+            item = {"kind": tag, "digest": source.removeprefix(SCHEME) if source.startswith(SCHEME) else None, "source": source, "alt": dict(attrs).get("alt")}
+            self.items.append(item)
+            self.open = False
+            if self.figures:
+                self.figures[-1].media.append(item)
 
     def handle_endtag(self, tag):
-        if tag in self.SILENT:
-            self.silent = max(0, self.silent - 1)
+        if tag == "head":
+            self._shown()
+        if tag in self.silent:
+            del self.silent[len(self.silent) - 1 - self.silent[::-1].index(tag) :]
         if tag in self.BREAKS:
-            self._close()
-        if tag == "figcaption":
-            self.caption = False
-        if tag == "figure":
-            self.figure = -1
+            self._break()
+        if self.figures:
+            if tag == "figcaption":
+                self.figures[-1].in_caption = False
+            if tag == "figure":
+                self._captioned(self.figures.pop())
 
     def handle_data(self, data):
-        if self.silent or not data.strip():
-            return
-        if self.caption and self.figure >= 0:
-            for item in self.items[self.figure :]:
-                if item["kind"] != "text":
-                    item["caption"] = f"{item['caption'] or ''}{data}".strip()
+        blank = not data.strip()
+        if self.silent or (self.head and blank):
             return
-        if self.items and self.items[-1]["kind"] == "text" and self.items[-1].get("open"):
+        self._shown()
+        if self.figures and self.figures[-1].in_caption:
+            self.figures[-1].caption.append(data)
+        elif self.open:
             self.items[-1]["text"] += data
+        elif not blank:
+            self.items.append({"kind": "text", "text": data})
+            self.open = True
+
+    def close(self):
+        super().close()
+        while self.figures:
+            self._captioned(self.figures.pop())
+
+    def _shown(self):
+        """The head is over, and with it what was left open there."""
+        if self.head:
+            self.head, self.silent = False, []
+
+    def _break(self):
+        if self.figures and self.figures[-1].in_caption:
+            self.figures[-1].caption.append(" ")
         else:
-            self.items.append({"kind": "text", "text": data, "digest": None, "caption": None, "open": True})
+            self.open = False
 
-    def _close(self):
-        if self.items and "open" in self.items[-1]:
-            self.items[-1]["open"] = False
+    def _captioned(self, figure: _Figure):
+        if caption := " ".join("".join(figure.caption).split()):
+            for item in figure.media:
+                item["caption"] = caption
 
 
 def parse(page: str | None) -> list[dict]:
-    """Items of a page in their order; none for null. Unclosed tags end with the page."""
+    """Items of a page in their order; none for null. position counts all items.
+
+    A text item is a run of shown text up to the next block, line break or reference, without white space at its ends. A reference has its source, the digest that it
+    names, if any, and as caption the text of its own figure's figcaption, wherever that stands in the figure, else its alt text. Elements that are not closed end with
+    the page; a head ends with the first element or text that cannot stand in it.
+    """
     sequence = _Sequence()
     sequence.feed(page or "")
     sequence.close()
-    return [{"position": i, "kind": x["kind"], "text": x["text"], "digest": x["digest"], "caption": x["caption"]} for i, x in enumerate(sequence.items)]
+    out = []
+    for i, item in enumerate(sequence.items):
+        own = dict.fromkeys(ITEM) | item | {"position": i}
+        own["text"] = own["text"] and own["text"].strip()
+        own["caption"] = own["caption"] or own["alt"]
+        out.append(own)
+    return out
 
 
 def sequences(pages: DataFrame, key: str, page: str) -> DataFrame:
     """key and items, one row per page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
+        kind = pa.list_(pa.struct([(name, pa.int32() if name == "position" else pa.string()) for name in ITEM]))
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([parse(x) for x in batch.column(1).to_pylist()], kind)], names=["key", "items"])
 
@@ -150,9 +208,9 @@ def sequences(pages: DataFrame, key: str, page: str) -> DataFrame:
 
 
 def references(found: DataFrame) -> DataFrame:
-    """The media items of sequences(): key, position, kind, digest, caption. Positions count all items, so references stay aligned with the text around them."""
+    """The media items of sequences(): key, position, kind, digest, source, alt, caption. Positions count all items, so references stay aligned with the text around them."""
     items = found.select("key", F.explode(F.filter("items", lambda i: i["kind"] != "text")).alias("item"))
-    return items.select("key", "item.position", "item.kind", "item.digest", "item.caption")
+    return items.select("key", *[f"item.{c}" for c in ITEM if c != "text"])
 
 
 def resolve(found: DataFrame, store: DataFrame, carry: list[str]) -> DataFrame:
@@ -170,38 +228,22 @@ def page_of(digest: str, key: str) -> str:
 
 
 def stored(docs: DataFrame) -> DataFrame:
-    """digest, n_bytes, media: the padded payload of each distinct text as a stored image. Copies meet by digest, first within a task."""
+    """doc_id, page, digest, n_bytes, media: for each row the page that shows its payload, and, where it is the first of its text in a batch, the padded payload as a stored image; else media is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.binary())
         for batch in batches:
-            seen, rows = set(), []
-            for text in batch.column(0):
-                data = (text.as_py() or "").encode()
-                digest = hashlib.sha256(data).hexdigest()
-                if digest not in seen:
+            seen: set[str] = set()
+            for low in range(0, batch.num_rows, 256):
+                part, rows = batch.slice(low, 256), []
+                for key, text in zip(part.column(0), part.column(1), strict=True):
+                    data = (text.as_py() or "").encode()
+                    digest = hashlib.sha256(data).hexdigest()
+                    rows.append((page_of(digest, str(key)), digest, len(data), None if digest in seen else encode(pad(data))))
                     seen.add(digest)
-                    rows.append((digest, len(data), encode(pad(data))))
-                if len(rows) == 256:
-                    yield _rows(rows)
-                    rows = []
-            if rows:
-                yield _rows(rows)
-
-    def _rows(rows):
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.binary()), strict=True)], names=["digest", "n_bytes", "media"])
-
-    return docs.select("text").mapInArrow(run, "digest string, n_bytes long, media binary").dropDuplicates(["digest"])
-
-
-def pages(docs: DataFrame) -> DataFrame:
-    """doc_id, page: for each row the page that refers to its payload."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [page_of(hashlib.sha256((t.as_py() or "").encode()).hexdigest(), str(k)) for k, t in zip(batch.column(0), batch.column(1), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["doc_id", "page"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]], names=["doc_id", "page", "digest", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, page string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, page string, digest string, n_bytes long, media binary")
 
 
 DIGEST_COLUMNS = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -229,11 +271,11 @@ def text_media(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id and the columns that read_back gives for its text, with the position and caption of its reference.
 
     Each document is shown by a page, the page is parsed into its interleaved sequence, and the reference is resolved by digest. A null text is an empty one, whose payload is WIDTH zeros.
-    Copies share one stored payload; it is read once, and only the small facts of it are joined to the references, so a digest of very many
-    documents moves no more bytes than another.
+    Images are written to a table of their own and read back from there; where a text has several copies of its image, from different batches, one
+    row of facts stays. Only the small facts are joined to the references, so a digest of very many documents moves no more bytes than another.
     """
-    facts = read_back(stored(docs))
-    found = references(sequences(pages(docs), "doc_id", "page"))
+    store = materialize(stored(docs))
+    facts = read_back(store.filter("media IS NOT NULL")).dropDuplicates(["digest"])
+    found = references(sequences(store, "doc_id", "page"))
     carry = [x.split()[0] for x in DIGEST_COLUMNS.split(", ")[1:]]
-    out = resolve(found, facts, carry)
-    return out.select(F.col("key").alias("doc_id"), *carry, "position", "caption")
+    return resolve(found, facts, carry).select(F.col("key").alias("doc_id"), *carry, "position", "caption")

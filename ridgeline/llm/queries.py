@@ -48,7 +48,13 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = media.text_media(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
+def pages_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interleaved sequences of the raw pages: a row for each item."""
+    found = media.sequences(_table(spark, sf_dir, "pages"), "page_id", "html")
+    return found.select(F.col("key").alias("page_id"), F.explode("items").alias("item")).select("page_id", *[f"item.{c}" for c in media.ITEM])
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_nearest, op3_minhash, op4_sentencepiece, op5_language, op6_licenses, op7_media, op8_substrings, op9_lines, op10_toxicity, pipeline)}
+    return {f.__name__: f for f in (op1_mixing, op2_nearest, op3_minhash, op4_sentencepiece, op5_language, op6_licenses, op7_media, op8_substrings, op9_lines, op10_toxicity, pipeline, pages_sequences)}
 
 
 OP1 = rf"""

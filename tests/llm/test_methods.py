@@ -251,15 +251,72 @@ def test_licenses_in_longer_notices(spark):
 
 
 def test_media_sequences(spark):
-    page = '<html><head><title>t</title></head><body><p>one &amp; <b>two</b></p><script>var t="</p>";</script><figure><img src="media:aa" alt="x"><figcaption>cap</figcaption></figure>three<img src="http://e/x.png"></body>'
+    page = '<html><head><title>t</title></head><body><p>one &amp; <b>two</b> <i>three</i></p><script>var t="</p>";</script><figure><img src="media:aa" alt="x"><figcaption>cap</figcaption></figure>three<img src="http://e/x.png" alt="y"></body>'
     items = media.parse(page)
-    assert [(i["kind"], i["text"], i["digest"], i["caption"]) for i in items] == [("text", "one & two", None, None), ("img", None, "aa", "xcap"), ("text", "three", None, None), ("img", None, None, None)]
-    assert [i["position"] for i in items] == [0, 1, 2, 3] and media.parse(None) == [] and media.parse("<p><p>a<img src=")[0]["text"].startswith("a")
+    assert [(i["kind"], i["text"], i["digest"], i["alt"], i["caption"]) for i in items] == [("text", "one & two three", None, None, None), ("img", None, "aa", "x", "cap"), ("text", "three", None, None, None), ("img", None, None, "y", "y")]
+    assert [i["position"] for i in items] == [0, 1, 2, 3] and items[3]["source"] == "http://e/x.png"
     pages = spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id long, html string")
     found = media.resolve(media.references(media.sequences(pages, "page_id", "html")), spark.createDataFrame([("aa", b"z")], "digest string, payload binary"), ["payload"])
     assert sorted((r.key, r.position, r.digest, bytes(r.payload or b"")) for r in found.collect() if r.digest) == [(1, 1, "aa", b"z")]
 
 
+def _brief(page):
+    return [i["text"] if i["kind"] == "text" else (i["digest"], i["caption"]) for i in media.parse(page)]
+
+
+def test_pages_as_people_write_them():
+    img = lambda d: f'<img src="media:{d}">'
+    assert media.parse(None) == [] == media.parse("") == media.parse("<head><title>t</title>")
+    assert _brief("<head><title>t</title><body><p>hello") == ["hello"]
+    assert _brief("<head><title>t</title><p>hello</p><title>u</title>") == ["hello"]
+    assert _brief("<head><meta x><template><p>no</p></template><style>p</style>shown") == ["shown"]
+    assert _brief(f"<figure><figcaption>before</figcaption>{img('a')}</figure>") == [("a", "before")]
+    assert _brief(f"<figure>{img('a')}<figcaption><p>cap</p><p>more</p></figcaption></figure><p>body</p>") == [("a", "cap more"), "body"]
+    nested = f"<figure>{img('a')}<figure>{img('b')}<figcaption>in</figcaption></figure>{img('c')}<figcaption>out</figcaption></figure>"
+    assert _brief(nested) == [("a", "out"), ("b", "in"), ("c", "out")]
+    assert _brief(f"<figure>{img('a')}<figcaption>never closed") == [("a", "never closed")]
+    assert _brief("<figcaption>alone</figcaption>") == ["alone"]
+    assert _brief("<p>a<br>b <b>c</b> d</p>") == ["a", "b c d"]
+    assert _brief(f"<noscript>{img('a')}</noscript>x{img('b')}y") == ["x", ("b", None), "y"]
+    r = random.Random(2)
+    parts = ["<", ">", "<!", "<![", "<![CDATA[", "<![if x]>", "<!--", "-->", "<?x", "</", "<p", "<img src=media:q ", "<script>", "</script", "&am", "&#x110000;", "text", '"', "<figure>", "</figure>", "<figcaption>", "<head>", "<title>", "\0", "]]>"]
+    for _ in range(3000):
+        items = media.parse("".join(r.choice(parts) for _ in range(r.randint(1, 12))))
+        assert [i["position"] for i in items] == list(range(len(items)))
+
+
+def test_media_columns_equal_plain_ones(spark):
+    """All columns of the contract, each made anew here from the text, with the image read by hand."""
+    import hashlib
+    import struct
+    import zlib
+
+    r = random.Random(9)
+    texts = [None, "", "a", "é😀" * 40, "x" * 64, "y" * 65, "a", *["".join(r.choice("abc \n") for _ in range(r.randint(0, 900))) for _ in range(40)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    store = {x.digest: bytes(x.media) for x in media.stored(docs).collect() if x.media is not None}
+    found = {x.doc_id: x for x in media.text_media(docs.repartition(5)).collect()}
+    assert len(found) == len(texts)
+    for i, text in enumerate(texts):
+        data, x = (text or "").encode(), found[i]
+        payload = data + bytes((-len(data)) % 64 or (0 if data else 64))
+        image = store[hashlib.sha256(data).hexdigest()]
+        at, body = 8, b""
+        while at < len(image):
+            (size,) = struct.unpack(">I", image[at : at + 4])
+            body += image[at + 8 : at + 8 + size] if image[at + 4 : at + 8] == b"IDAT" else b""
+            at += size + 12
+        rows = np.frombuffer(zlib.decompress(body), np.uint8).reshape(-1, 65)
+        assert rows[:, 1:].tobytes() == payload and not rows[:, 0].any()
+        assert (x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (x.media_bytes, x.media_sha256) == (len(image), hashlib.sha256(image).hexdigest())
+        values = np.frombuffer(payload, np.uint8).astype(float)
+        share = np.unique(values, return_counts=True)[1] / len(values)
+        step = np.abs(values[64:] - values[:-64]).mean() if len(values) > 64 else 0
+        assert x.feature == f"h={len(payload) // 64};mean={values.mean():.4f};sd={values.std():.4f};entropy={abs((share * np.log2(share)).sum()):.4f};step={step:.4f}"
+        assert (x.position, x.caption) == (1, f"payload of document {i}")
+
+
 @pytest.mark.parametrize("size", [0, 1, 63, 64, 65, 5000])
 def test_media_round_trip(size):
     data = random.Random(size).randbytes(size)
