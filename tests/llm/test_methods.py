@@ -228,13 +228,62 @@ def test_toxicity_held_out(spark):
     assert np.mean([(x.score >= 0.7) == truth[x.doc_id] for x in held]) > 0.95
 
 
-def test_smoothed_models_are_distributions():
-    tables = np.zeros((2, toxicity.SYMBOLS**toxicity.ORDER), np.int64)
-    r = np.random.default_rng(1)
-    for c in range(2):
-        np.add.at(tables[c], r.integers(0, 5000, 3000), 1)
-    assert np.isfinite(toxicity.estimate(tables)).all()
-    assert np.abs(toxicity.estimate(np.stack((tables[0], tables[0])))).max() < 1e-6
+def plain_models(rows):
+    """Both classes' distributions over the words of rows (text, label) and what neither has met (None), and the log ratio of each, by the formulas."""
+    counts = [{}, {}]
+    for text, label in rows:
+        for w in set(re.findall(r"[^\W\d_]+", text.lower())):
+            counts[label][w] = counts[label].get(w, 0) + 1
+    every = sorted(set(counts[0]) | set(counts[1]))
+    contexts = {w: (w in counts[0]) + (w in counts[1]) for w in every}
+    shared = {w: (contexts.get(w, 0) + 1) / (sum(contexts.values()) + len(every) + 1) for w in [*every, None]}
+    models = []
+    for own in counts:
+        of = [sum(n == k for n in own.values()) for k in range(5)]
+        rate = of[1] / (of[1] + 2 * of[2]) if of[1] and of[2] else 0.75
+        cut = lambda n, of=of, rate=rate: 0 if not n else (lambda k: min(k, max(0, k - (k + 1) * rate * of[k + 1] / of[k])) if of[k] else k / 2)(min(n, 3))
+        total = sum(own.values())
+        free = sum(cut(n) for n in own.values()) / total
+        models.append({w: (own.get(w, 0) - cut(own.get(w, 0))) / total + free * shared[w] for w in [*every, None]})
+    return models, {w: np.log(models[1][w] / models[0][w]) for w in [*every, None]}
+
+
+def test_smoothed_models_are_distributions(spark):
+    r = random.Random(4)
+    usual, rude = [a + b for a in "bcdfgl" for b in ("ata", "eno", "iru", "oma")], ["zgo", "grub", "bata"]
+    rows = [(" ".join([r.choice(usual) for _ in range(r.randint(0, 9))] + [r.choice(rude)] * (i % 4 == 0) + [f"only{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}"] * (i % 3 == 0)), int(i % 4 == 0)) for i in range(200)]
+    models, ratios = plain_models(rows)
+    assert all(abs(sum(m.values()) - 1) < 1e-12 for m in models)
+    labelled = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(rows)], "doc_id long, text string, toxic int")
+    counts = toxicity.fit(labelled)
+    model = toxicity.estimate(counts)
+    # the same sums over the table of counts
+    sums = counts.select(*[F.sum(model.probability(c, F.col("n0"), F.col("n1"))).alias(f"p{c}") for c in range(2)]).first()
+    assert all(abs(sums[f"p{c}"] + model.classes[c].free / model.contexts - 1) < 1e-9 for c in range(2))
+    assert model.unseen == pytest.approx(ratios[None])
+    key = {w: next(toxicity.words(pa.array([w])))[3][0] for w in ratios if w}
+    found = {x.key: x.evidence for x in toxicity.evidence(counts, model).collect()}
+    assert found == {key[w]: pytest.approx(x, abs=1e-5) for w, x in ratios.items() if w and x > ratios[None] + 1e-7}
+    # and every document's strongest expression, whatever group it is in
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)] + [(999, None), (1000, ""), (1001, "nevermet zgo")], "doc_id long, text string")
+    expected = {i: max([ratios[None], *[ratios[w] for w in t.split()]]) for i, (t, _) in enumerate(rows)} | {999: ratios[None], 1000: ratios[None], 1001: ratios["zgo"]}
+    for parts in (1, 7):
+        got = {x.doc_id: (x.strongest, x.words) for x in toxicity.strongest(docs.repartition(parts), toxicity.evidence(counts, model), model.unseen).collect()}
+        assert {i: x[0] for i, x in got.items()} == {i: pytest.approx(x, abs=1e-5) for i, x in expected.items()}
+        assert got[999][1] == got[1000][1] == 0 and got[1001][1] == 2 and all(got[i][1] == len(set(t.split())) for i, (t, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_toxicity_ranks_held_out_documents(spark, sf):
+    import zlib
+
+    root = f"/root/testdata/{sf}"
+    labels = {x.doc_id: x.toxic for x in spark.read.parquet(f"{root}/labels.parquet").collect() if x.toxic is not None and zlib.crc32(str(x.doc_id).encode()) % 3 == 1}
+    found = {x.doc_id: x for x in queries.op10_toxicity(spark, root).collect()}
+    scores, truth = np.array([found[i].score for i in labels]), np.array(list(labels.values()))
+    rude, clean = scores[truth == 1], scores[truth == 0]
+    auc = ((rude[:, None] > clean[None]).mean() + (rude[:, None] >= clean[None]).mean()) / 2
+    assert auc >= 0.9 and (clean >= 0.7).mean() < 0.02 and all(found[i].held_out for i in labels)
 
 
 def test_licenses_in_longer_notices(spark):
@@ -381,11 +430,11 @@ def test_rare_toxic_words_are_found_in_long_texts(spark):
     assert len(found) == 900 and np.mean([(x.score >= 0.7) == rows[x.doc_id][2] for x in held]) > 0.95
 
 
-def test_evidence_counts_every_word_of_every_document(spark):
-    rows = [(i, f"only{i} shared" + (" bad" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(40)]
-    _, known = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
-    bad = next(toxicity.words(pa.array(["bad"])))[3][0]
-    assert {x.key: x.evidence for x in known.collect()} == {bad: pytest.approx((2 * 10 * np.log(4)) ** 0.5)}
+def test_every_word_of_every_document_is_counted(spark):
+    rows = [(i, f"only{chr(97 + i % 26)}{chr(97 + i // 26)} shared shared" + (" bad" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(40)]
+    counts = {x.key: (x.n0, x.n1) for x in toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int")).collect()}
+    key = lambda w: next(toxicity.words(pa.array([w])))[3][0]
+    assert len(counts) == 42 and counts[key("bad")] == (0, 10) and counts[key("shared")] == (30, 10) and counts[key("onlyba")] == (1, 0)
 
 
 def thue_morse(n, first="a", second="b"):
