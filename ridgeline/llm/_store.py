@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
+import threading
 import uuid
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
+_NAME = re.compile(r"ridgeline-[0-9a-f]{32}")
+_scopes = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is set (as in tests) a temporary one."""
+    """The cluster's shared folder. Where none is set, a temporary one if driver and executors are one machine (as in tests), else an error, since no local folder would do."""
     found = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{SETTING} has to name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="ridgeline-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set(SETTING, found)
@@ -32,18 +39,55 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ridgeline-{uuid.uuid4().hex}"
     schema = df.schema
+    if made := getattr(_scopes, "made", None):
+        made[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def _tables(df: DataFrame) -> set[str]:
+    return {name for file in df.inputFiles() for name in _NAME.findall(file)}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table of materialize() that no later step reads."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for name in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(name).getParent()
-        if folder.getName().startswith("ridgeline-"):
-            folder.getFileSystem(conf).delete(folder, True)
+    for file in df.inputFiles()[:1]:
+        _delete(df.sparkSession, file.rsplit("/", 1)[0])
+
+
+def tidy(df: DataFrame) -> DataFrame:
+    """Delete the tables that the operator at work has made so far, but for those that df reads; df again."""
+    made = _scopes.made[-1]
+    used = _tables(df) if made else set()
+    for path in made:
+        if path.rsplit("/", 1)[1] not in used:
+            _delete(df.sparkSession, path)
+    made[:] = [path for path in made if path.rsplit("/", 1)[1] in used]
+    return df
+
+
+def tidied(operator):
+    """Of the tables that a call of the operator makes, only those that its result reads outlive it."""
+
+    @wraps(operator)
+    def run(*args, **named):
+        if not hasattr(_scopes, "made"):
+            _scopes.made = []
+        _scopes.made.append([])
+        try:
+            out = tidy(operator(*args, **named))
+        finally:
+            left = _scopes.made.pop()
+            if _scopes.made:
+                _scopes.made[-1] += left
+        return out
+
+    return run
 
 
 def columns(df: DataFrame) -> list[Column]:

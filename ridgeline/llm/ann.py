@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm._store import materialize
+from ridgeline.llm._store import materialize, tidied
 
 #: Least and most centroids of each half, between which their number grows until a mean cell is a shard; rows of the sample that they are
 #: fitted on (drawn by a hash of vec_id); rounds of k-means.
@@ -128,6 +128,7 @@ def layout(first: np.ndarray, second: np.ndarray, sizes: np.ndarray) -> Index:
     return Index(first, second, sizes, base, parts, low)
 
 
+@tidied
 def search(vectors: DataFrame, queries: DataFrame, nearest_k: int = NEAREST, share: float = PROBE_SHARE, centroids: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: for each query the nearest_k found by largest inner product, ties to the smaller vec_id.
 

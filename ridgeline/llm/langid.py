@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm import _text
-from ridgeline.llm._store import columns, materialize, own_prefix
+from ridgeline.llm._store import columns, materialize, own_prefix, tidied
 
 #: Hash buckets of the n-grams, lengths of the n-grams, added count.
 BUCKETS, LENGTHS, ALPHA = 1 << 14, (1, 2, 3), 0.5
@@ -156,6 +156,7 @@ def classify(block: Block, column: pa.Array) -> tuple[list[str | None], np.ndarr
     return named, np.concatenate(tops) if tops else np.zeros(0), np.concatenate(masses) if masses else np.zeros(0)
 
 
+@tidied
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred and score, the posterior probability. Only the text is an input; null texts and texts without a letter get `und` and 0, as does every text where no language was learned. Columns of docs by these names are replaced.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm._store import columns, materialize, own_prefix
+from ridgeline.llm._store import columns, materialize, own_prefix, tidied
 
 #: A line is boilerplate of a site if it stands on more than this share of the site's pages. A line of one page repeats nothing, so two pages are the least at any size.
 RATIO = 0.05
@@ -52,6 +52,7 @@ def boilerplate(pages: DataFrame, site: str, text: str, ratio: float = RATIO, on
     return over.groupBy("site").agg(F.collect_set("line").alias("hashes"))
 
 
+@tidied
 def drop_boilerplate(pages: DataFrame, site: str, text: str, ratio: float = RATIO, once: bool = False) -> DataFrame:
     """pages with text cleaned of its site's boilerplate lines, and n_lines and n_dropped added.
 

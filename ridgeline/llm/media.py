@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm._store import materialize
+from ridgeline.llm._store import materialize, tidied
 
 #: Payload bytes are padded with zeros to a multiple of the image's width and stored as 8-bit grey samples.
 WIDTH = 64
@@ -267,6 +267,7 @@ def read_back(store: DataFrame) -> DataFrame:
     return store.select("digest", "n_bytes", "media").mapInArrow(run, DIGEST_COLUMNS)
 
 
+@tidied
 def text_media(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id and the columns that read_back gives for its text, with the position and caption of its reference.
 

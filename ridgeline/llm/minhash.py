@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm import _text
-from ridgeline.llm._store import columns, discard, materialize, own_prefix
+from ridgeline.llm._store import columns, discard, materialize, own_prefix, tidied
 
 #: Words of a shingle, and the least 100 * intersection / union of a link.
 WORDS, PERCENT = 5, 80
@@ -177,6 +177,7 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
             return own
 
 
+@tidied
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -266,6 +267,7 @@ def _possible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     return out.filter((100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (apart <= SKETCH_APART)).select("a", "b")
 
 
+@tidied
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs without near copies: of each component the row with the smallest doc_id stays, a null one last, of rows that share it the one whose text has the smallest hash.
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm import _text
-from ridgeline.llm._store import materialize
+from ridgeline.llm._store import materialize, tidied
 
 #: Words of a window, rounds of recompression.
 WINDOW, ROUNDS = 35, 2
@@ -239,6 +239,7 @@ def _removed(window: int):
     return run
 
 
+@tidied
 def drop_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_words, n_removed, kept: each text without the words of any window that starts more than once in all texts, the rest joined by single spaces.
 

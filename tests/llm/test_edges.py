@@ -168,6 +168,33 @@ def test_the_ratio_alone_decides(spark, pages):
     assert all(f"own {i}" in found[i] for i in range(pages))
 
 
+def test_operators_leave_no_table_behind_that_their_result_does_not_read(docs):
+    import glob
+    import re
+
+    from ridgeline.llm import _store
+
+    def there():
+        return {re.search("ridgeline-[0-9a-f]{32}", x)[0] for x in glob.glob(f"{_store.shared_dir(docs.sparkSession)}/ridgeline-*")}
+
+    labels = docs.sparkSession.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    for operator in (minhash.near_duplicates, minhash.keep_one, substring.drop_repeats, media.text_media, lambda d: toxicity.score(d, labels)):
+        before = there()
+        out = operator(docs)
+        assert there() - before == _store._tables(out) & (there() - before) and out.count() > 0
+    assert not _store._scopes.made
+
+
+def test_no_local_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from ridgeline.llm import _store
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        _store.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://a:7077", getConf=lambda: conf)))
+
+
 def test_stages_keep_the_columns_of_documents(docs, nothing):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(docs.sparkSession, docs, "")
