@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm._store import columns, own_prefix
+from ridgeline.llm._store import columns, materialize, own_prefix, tidied
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in order, repeating.
@@ -39,6 +39,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return out.withColumn("target", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("weight") * common)).select("source", "source_size", "target")
 
 
+@tidied
 def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """One row per row of docs: its columns doc_id and source, size, source_size, target, taken, start (words before it in its source's order).
 
@@ -49,9 +50,10 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, s
     Range bounds come from the hash itself: bucket b of a source holds the hashes with prefix b, so that every pass and every
     retried task sees the same ranges; a hot source has as many buckets as any other and no bucket has a great share of it.
     """
-    digits = _digits(docs)
     key = F.md5(F.concat(F.lit(f"{seed}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key")).withColumn("bucket", F.substring("key", 1, digits))
+    # read twice below, so texts are gone through once for it
+    rows = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key.alias("key")))
+    rows = rows.withColumn("bucket", F.substring("key", 1, _digits(rows)))
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = buckets.withColumn("before", before)
@@ -69,6 +71,7 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, s
     return out.select("doc_id", "source", "size", F.col("source_size").cast("long"), F.col("target").cast("double"), (epochs * F.col("size") + part).cast("long").alias("taken"), start.cast("long").alias("start"))
 
 
+@tidied
 def mix_texts(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The mix itself: docs with its own columns, each row as often as its taken words hold it whole, and the row at a cut once more, cut after its share of words.
 
@@ -97,10 +100,10 @@ def mix_texts(docs: DataFrame, seed: int = 17) -> DataFrame:
     return rows.select(columns(docs))
 
 
-def _digits(docs: DataFrame) -> int:
+def _digits(rows: DataFrame) -> int:
     """Hexadecimal digits of the bucket: about as many buckets of a source as rows in each, so that neither
     the ranges nor their prefix sums grow long. Results do not depend on it."""
-    rows, digits = docs.count(), 1
-    while 16 ** (2 * digits) < rows and digits < 8:
+    number, digits = rows.count(), 1
+    while 16 ** (2 * digits) < number and digits < 8:
         digits += 1
     return digits
