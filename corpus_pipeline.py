@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm import langid, lines, minhash, mixing, pieces
-from ridgeline.llm._store import materialize
+from ridgeline.llm._store import materialize, tidied, tidy
 
 #: A document without a language, or where none is likelier than all others together, is rejected.
 LEAST_POSTERIOR = 0.5
@@ -54,11 +54,12 @@ STAGES = [("language", language), ("line_dedup", line_dedup), ("near_dedup", nea
 ORACLE_SQL = None
 
 
+@tidied
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written before the next one reads it."""
+    """All stages over documents, each written before the next one reads it; what an earlier one has written goes then."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = materialize(docs)
+            docs = tidy(materialize(docs))
     return docs
