@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import arrays
 from ridgeline.operators.fold import Steps
-from ridgeline.operators.kernel import KERNELS
+from ridgeline.operators.kernel import KERNELS, TILE_ROWS
 from ridgeline.operators.shuffle import SHUFFLES
 from ridgeline.plans.ridge import ALGORITHMS, Model, Ridge, kernel_matrix
 from ridgeline.sources import logs, matrix
@@ -40,10 +40,13 @@ def parser() -> argparse.ArgumentParser:
     commands = out.add_subparsers(dest="command", required=True)
     data = argparse.ArgumentParser(add_help=False)
     data.add_argument("dataset", nargs="?", choices=[*SHAPES, "custom"], default="custom", help="a known shape, or custom with --n --d --nt --k")
-    data.add_argument("--train", required=True, help="matrix to train on: Parquet (row_id, features, label) or a headerless binary file")
+    data.add_argument("--train", help="matrix to train on: Parquet (row_id, features, label) or a headerless binary file")
     data.add_argument("--test", help="matrix to test on")
     data.add_argument("--format", choices=["binary", "parquet"], default="binary")
     data.add_argument("--dtype", default="float64", help="element type of binary files")
+    data.add_argument("--trn-dtype", help="element type of the file to train on, if another")
+    data.add_argument("--tst-dtype", help="element type of the file to test on, if another")
+    data.add_argument("--one-hot", action=argparse.BooleanOptionalAction, help="a target for each of k classes, or the label itself as one target; by default classes if k is above 1")
     for name in ("n", "nt", "d", "k"):
         data.add_argument(f"--{name}", type=int)
     data.add_argument("--subset", type=int, default=0, help="train on so many first rows; 0: all")
@@ -53,6 +56,7 @@ def parser() -> argparse.ArgumentParser:
     for name in ALGORITHMS:
         command = commands.add_parser(name, parents=[data], help=f"train by {ALGORITHMS[name].__name__}")
         command.add_argument("--loss", choices=["ridge"], default="ridge")
+        command.add_argument("--memId", help="train on this matrix of `generate` instead (Parquet), with a ridge weight of 0, since it holds one, and without scaling")
         command.add_argument("--log", help="folder of the training log, as CSV")
         if name == "closed":
             continue
@@ -70,12 +74,16 @@ def parser() -> argparse.ArgumentParser:
             continue
         command.add_argument("--epochs", type=int, default=3)
         command.add_argument("--algo", choices=list(SHUFFLES), default="external" if name == "ssgd" else "block_local", help="shuffle of every epoch")
+        if name == "ssgd":
+            command.add_argument("--shuffle-on-disk", action=argparse.BooleanOptionalAction, default=True, help="shuffle every epoch by --algo, or take blocks as they are stored")
+            command.add_argument("--simulated", action=argparse.BooleanOptionalAction, default=True, help="fold the table and log on all of it, or write blocks, stream them and log on the current block")
     generate = commands.add_parser("generate", parents=[data], help="K + reg I with labels, a matrix to train on with --format parquet --reg 0")
     generate.add_argument("--kernel", choices=list(KERNELS), default="rbf")
     generate.add_argument("--sigma", type=float, default=1.0)
+    generate.add_argument("--simulated", action="store_true", help="all pairs at once, as one tile, not tile by tile")
     bring = commands.add_parser("import", help="a pair of IDX files to Parquet")
-    bring.add_argument("--images", required=True)
-    bring.add_argument("--labels", required=True)
+    bring.add_argument("--images", required=True, nargs="+", help="one file or several batches, whose rows follow each other")
+    bring.add_argument("--labels", required=True, nargs="+")
     bring.add_argument("--out", required=True)
     return out
 
@@ -88,6 +96,10 @@ def shape_of(options: argparse.Namespace, train: DataFrame | None = None) -> Sha
         values["n"] = train.count() if values["n"] is None else values["n"]
         values["d"] = (train.agg(F.max(F.size("features"))).first()[0] or 0) if values["d"] is None else values["d"]
     values["k"] = 10 if values["k"] is None else values["k"]
+    if options.one_hot is False:
+        values["k"] = 1
+    elif options.one_hot and values["k"] == 1:
+        raise SystemExit("ridgeline: --one-hot needs --k above 1")
     if values["n"] is None or values["d"] is None:
         raise SystemExit("ridgeline: binary files need --n and --d")
     if options.format == "binary" and options.test and values["nt"] is None:
@@ -97,30 +109,42 @@ def shape_of(options: argparse.Namespace, train: DataFrame | None = None) -> Sha
 
 def load(spark: SparkSession, options: argparse.Namespace) -> tuple[DataFrame, DataFrame | None, Shape]:
     """Train and test matrix, scaled, and their shape. The subset is of the rows to train on."""
+    if memory := getattr(options, "memId", None):
+        found = matrix.reopen(spark, memory)
+        if found is None:
+            raise SystemExit(f"ridgeline: there is no matrix at {memory}")
+        options.n = options.d = None
+        known = shape_of(argparse.Namespace(**{**vars(options), "format": "parquet"}), found)
+        return matrix.first_rows(found, options.subset), None, Shape(known.n, 0, known.d, known.k)
+    if not options.train:
+        raise SystemExit("ridgeline: --train is needed")
     if options.format == "parquet":
         train, test = spark.read.parquet(options.train), spark.read.parquet(options.test) if options.test else None
         shape = shape_of(options, train)
     else:
         shape = shape_of(options)
-        read = lambda path, n: matrix.read_dense(spark, path, n, shape.d, options.dtype, arrays.rows_per_block(options.buffer, shape.d, n))
-        train, test = read(options.train, shape.n), read(options.test, shape.nt) if options.test else None
+        read = lambda path, n, kind: matrix.read_dense(spark, path, n, shape.d, kind or options.dtype, arrays.rows_per_block(options.buffer, shape.d, n))
+        train, test = read(options.train, shape.n, options.trn_dtype), read(options.test, shape.nt, options.tst_dtype) if options.test else None
     scaled = lambda m: m if shape.divisor == 1.0 else m.withColumn("features", arrays.scale(F.col("features"), shape.divisor))
     return scaled(matrix.first_rows(train, options.subset)), scaled(test) if test is not None else None, shape
 
 
 def train(spark: SparkSession, options: argparse.Namespace) -> Model:
     rows, test, shape = load(spark, options)
-    named = {"features": shape.d, "classes": shape.k, "loss": Ridge(options.reg)}
+    reg = 0.0 if options.memId else options.reg
+    named = {"features": shape.d, "classes": shape.k, "loss": Ridge(reg)}
+    size = arrays.rows_per_block(options.buffer, shape.d, max(1, shape.n))
     if options.command != "closed":
-        named["steps"] = Steps(options.eta0, options.damp, options.step, getattr(options, "momentum", 0.0), options.reg, options.logfreq)
+        named["steps"] = Steps(options.eta0, options.damp, options.step, getattr(options, "momentum", 0.0), reg, options.logfreq)
     if options.command == "gd":
         named["iterations"] = options.iters
     elif options.command == "hsgd":
         named |= {"parts": options.nthreads, "seed": options.seed}
     elif options.command in ("sgd", "ssgd"):
-        named |= {"epochs": options.epochs, "shuffle": options.algo, "seed": options.seed, "rows_per_block": arrays.rows_per_block(options.buffer, shape.d, max(1, shape.n))}
+        how = options.algo if options.command == "sgd" or options.shuffle_on_disk else "none"
+        named |= {"epochs": options.epochs, "shuffle": how, "seed": options.seed, "rows_per_block": size}
     algorithm = ALGORITHMS[options.command](**named)
-    model = algorithm.fit(rows, test)
+    model = algorithm.fit(rows, test) if getattr(options, "simulated", True) else algorithm.stream(rows)
     print(f"Train: {model.accuracy(rows)}" + (f" Test: {model.accuracy(test)}" if test is not None else ""))
     if options.out:
         weights_frame(spark, model.weights).coalesce(1).write.mode("overwrite").parquet(options.out)
@@ -138,7 +162,7 @@ def main(arguments: list[str] | None = None) -> None:
     if options.command == "import":
         matrix.save(matrix.read_idx(spark, options.images, options.labels), options.out)
     elif options.command == "generate":
-        rows, _, _ = load(spark, options)
-        matrix.save(kernel_matrix(rows, options.kernel, options.sigma, options.reg), options.out)
+        rows, _, shape = load(spark, options)
+        matrix.save(kernel_matrix(rows, options.kernel, options.sigma, options.reg, max(1, shape.n) if options.simulated else TILE_ROWS), options.out)
     else:
         train(spark, options)

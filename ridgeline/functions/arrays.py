@@ -74,9 +74,12 @@ BYTES = {"bool_": 1, "int8": 1, "uint8": 1, "int16": 2, "uint16": 2, "float16":
 
 
 def element_bytes(dtype: str) -> int:
-    if dtype not in BYTES:
-        raise ValueError(f"no size known for {dtype}")
-    return BYTES[dtype]
+    """Bytes of an element, of the types above or of a type code with its size, such as >i4."""
+    if dtype in BYTES:
+        return BYTES[dtype]
+    if len(dtype) == 3 and dtype[0] in "<>" and dtype[1] in "iuf" and dtype[2] in "248":
+        return int(dtype[2])
+    raise ValueError(f"no size known for {dtype}")
 
 
 def rows_per_block(megabytes: float, features: int, rows: int, width: int = 8) -> int:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,9 +15,17 @@ def shuffle_key(row_id: Column, seed: int, epoch: int = 0) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}-{epoch}-"), row_id.cast("string")))
 
 
-def _with_positions(df: DataFrame, order: list[str]) -> DataFrame:
-    """position from 0 in a global order, without one task for all rows: ranges are sorted apart and start where the rows of the ranges before them end."""
-    prefix = F.substring(order[-1], 1, 2)
+def prefix_digits(rows: int) -> int:
+    """Hexadecimal digits of a key that cut rows in about as many ranges as rows of a range, so that neither grows long. Orders do not depend on it."""
+    digits = 1
+    while 16 ** (2 * digits) < rows and digits < 8:
+        digits += 1
+    return digits
+
+
+def _with_positions(df: DataFrame, order: list[str], rows: int) -> DataFrame:
+    """position from 0 in a global order of about rows rows in each value of what stands before the key, without one task for all: ranges of the key are sorted apart and start where the rows of the ranges before them end."""
+    prefix = F.substring(order[-1], 1, prefix_digits(rows))
     lead = order[:-1] + ["_prefix"]
     ranged = df.withColumn("_prefix", prefix)
     counts = ranged.groupBy(*lead).agg(F.count("*").alias("_n"))
@@ -25,9 +34,9 @@ def _with_positions(df: DataFrame, order: list[str]) -> DataFrame:
     return ranged.withColumn("_own", own).join(before, lead).withColumn("position", (F.col("_before") + F.col("_own")).cast("long")).drop("_prefix", "_before", "_own")
 
 
-def global_shuffle(df: DataFrame, seed: int, epoch: int = 0) -> DataFrame:
-    """A uniform shuffle of all rows: position. Spark's sort is the external merge sort of random keys."""
-    return _with_positions(df.withColumn("_key", shuffle_key(F.col("row_id"), seed, epoch)), ["_key"]).drop("_key")
+def global_shuffle(df: DataFrame, seed: int, epoch: int = 0, rows: int | None = None) -> DataFrame:
+    """A uniform shuffle of all rows: position. Spark's sort is the external merge sort of random keys. rows: how many there are; counted if not given."""
+    return _with_positions(df.withColumn("_key", shuffle_key(F.col("row_id"), seed, epoch)), ["_key"], df.count() if rows is None else rows).drop("_key")
 
 
 def block_local_shuffle(df: DataFrame, rows_per_block: int, seed: int, epoch: int = 0) -> DataFrame:
@@ -46,25 +55,30 @@ def external_shuffle(df: DataFrame, rows_per_block: int, rows: int, seed: int, e
     rank = F.col("position") - F.col("block_id") * rows_per_block
     out = local.withColumn("slice_id", F.floor(rank / F.lit(size)).cast("long")).drop("position")
     out = out.withColumn("_key", shuffle_key(F.col("row_id"), seed + 1, epoch))
-    return _with_positions(out, ["slice_id", "_key"]).drop("_key")
+    return _with_positions(out, ["slice_id", "_key"], size * blocks).drop("_key")
 
 
-SHUFFLES = {"none": None, "global": global_shuffle, "block_local": block_local_shuffle, "external": external_shuffle}
+#: Shuffles by name: df, seed, epoch, rows of a block, rows. More can be added.
+SHUFFLES: dict[str, Callable[[DataFrame, int, int, int, int], DataFrame]] = {
+    "none": lambda df, seed, epoch, size, rows: df.withColumn("position", F.col("row_id")),
+    "global": lambda df, seed, epoch, size, rows: global_shuffle(df, seed, epoch, rows),
+    "block_local": lambda df, seed, epoch, size, rows: block_local_shuffle(df, size, seed, epoch),
+    "external": lambda df, seed, epoch, size, rows: external_shuffle(df, size, rows, seed, epoch),
+}
 
 
 def shuffled(df: DataFrame, how: str, seed: int, epoch: int, rows_per_block: int, rows: int) -> DataFrame:
     """df with position by a shuffle of SHUFFLES."""
-    if how == "none":
-        return df.withColumn("position", F.col("row_id"))
-    if how == "global":
-        return global_shuffle(df, seed, epoch)
-    if how == "block_local":
-        return block_local_shuffle(df, rows_per_block, seed, epoch)
-    if how == "external":
-        return external_shuffle(df, rows_per_block, rows, seed, epoch)
-    raise ValueError(f"unknown shuffle {how}; there are {', '.join(SHUFFLES)}")
+    if how not in SHUFFLES:
+        raise ValueError(f"unknown shuffle {how}; there are {', '.join(SHUFFLES)}")
+    return SHUFFLES[how](df, seed, epoch, rows_per_block, rows)
+
+
+def gather(matrix: DataFrame, order: DataFrame) -> DataFrame:
+    """Rows of matrix by an index vector order (position, row_id): position and the matrix's columns, a row as often as the vector names it. Numbers that no row has give no row."""
+    return order.select("position", "row_id").join(matrix, "row_id")
 
 
 def split_exact(df: DataFrame, share: float, rows: int, seed: int) -> DataFrame:
     """df shuffled, with is_train for exactly ceil(rows * share) rows."""
-    return global_shuffle(df, seed).withColumn("is_train", F.col("position") < ceil(rows * share))
+    return global_shuffle(df, seed, rows=rows).withColumn("is_train", F.col("position") < ceil(rows * share))

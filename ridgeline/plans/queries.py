@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import math
-import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +11,12 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import arrays
 from ridgeline.operators import fold, kernel, shuffle, stats
-from ridgeline.plans.ridge import GD, ClosedForm, Model, Ridge, kernel_matrix
-from ridgeline.sources import logs, matrix
+from ridgeline.plans.ridge import GD, SGD, ClosedForm, Model, Ridge, kernel_matrix
+from ridgeline.sources import logs, matrix, scratch
 from ridgeline.streaming import ssgd
 
 CLASSES, FEATURES, REG = 10, 64, 0.1
-BLOCK = 100
+BLOCK, STREAM_BLOCK, PARTS = 100, 200, 4
 STEPS = fold.Steps(eta0=0.01, damp=0.99, step=100, momentum=0.9, reg=0.1, log_every=0)
 GD_STEPS = fold.Steps(eta0=0.2, damp=0.9, step=10, momentum=0.0, reg=0.1, log_every=0)
 GD_ITERATIONS = 50
@@ -138,18 +137,16 @@ def ridge_closed_2d(spark, sf_dir):
     return ssgd.weights_frame(spark, w).select("j", "c", _r(F.col("w")).alias("w"))
 
 
-def ridge_closed_64d_residual(spark, sf_dir):
-    """How far the solution is from the normal equations, and that it is as large as it should be: |W|."""
-    m = stats.moments(matrix.embeddings(spark, sf_dir), CLASSES)
-    w = Ridge(REG).minimum(m)
-    residual = float(np.abs((m.gram + REG * np.eye(len(m.gram))) @ w - m.cross).max())
-    return spark.createDataFrame([(m.n, round(residual, 6) + 0.0)], "n long, residual double")
+def ridge_closed_64d(spark, sf_dir):
+    w = ClosedForm(FEATURES, CLASSES, Ridge(REG)).fit(matrix.embeddings(spark, sf_dir)).weights
+    return ssgd.weights_frame(spark, w).select("j", "c", _r(F.col("w")).alias("w"))
 
 
 def ridge_predict_accuracy(spark, sf_dir):
     train = matrix.embeddings(spark, sf_dir)
     model = ClosedForm(FEATURES, CLASSES, Ridge(REG)).fit(train)
-    return model.predict(train).groupBy("label").agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
+    hit = (F.col("prediction") == F.col("label")).cast("double")
+    return model.predict(train).groupBy("label").agg(F.count("*").alias("n"), _r(F.avg(hit), 9).alias("accuracy"))
 
 
 def _weights_2d(spark, sf_dir):
@@ -251,44 +248,52 @@ def matmul_coo(spark, sf_dir):
 
 
 def ssgd_stream(spark, sf_dir):
+    """Two epochs over a stream of blocks of customers in the order of the external shuffle."""
     rows = customers(spark, sf_dir)
     ordered = shuffle.shuffled(rows, "external", 3, 0, 500, rows.count())
-    path = _scratch(spark)
-    blocks = ssgd.write_blocks(ordered, path, math.ceil(rows.count() / 8))
+    path = scratch.scratch(spark)
+    blocks = ssgd.write_blocks(ordered, path, STREAM_BLOCK)
     state = ssgd.train_stream(spark, path, 2, 1, STEPS, epochs=2)
-    return ssgd.weights_frame(spark, state.weights).withColumn("t", F.lit(state.t)).withColumn("blocks", F.lit(blocks))
+    scratch.delete(spark, path)
+    return ssgd.weights_frame(spark, state.weights).select("j", F.lit(state.t).cast("long").alias("t"), F.lit(blocks).cast("long").alias("blocks"), _r(F.col("w")).alias("w"))
 
 
 def local_sgd_average(spark, sf_dir):
-    x = F.array(F.col("l_quantity") / F.lit(50.0), "l_discount")
-    rows = matrix.labelled(_table(spark, sf_dir, "lineitem"), "l_orderkey", x, (F.col("l_extendedprice") > 50_000).cast("int"))
-    return ssgd.weights_frame(spark, fold.local_average(rows, STEPS, 2, 1, 4))
+    w = fold.local_average(customers(spark, sf_dir), STEPS, 2, 1, PARTS)
+    return ssgd.weights_frame(spark, w).select("j", _r(F.col("w")).alias("w"))
 
 
 def training_log_roundtrip(spark, sf_dir):
-    m = _moments(spark, sf_dir)
-    loss = Ridge(REG)
-    rows = [(t, 0.5 * t, loss.value(w, m), 0.5, 0.25) for t, w in GD(2, 1, loss, GD_STEPS, iterations=20).path(m)]
-    path = _scratch(spark)
-    logs.write_log(spark, rows, path)
-    return logs.read_logs(spark, path).drop("run")
+    """The log of one epoch of descent, written as CSV and read again; times are left out, as no two runs share them."""
+    rows = customers(spark, sf_dir)
+    run = SGD(2, 1, Ridge(REG), replace(STEPS, log_every=100), epochs=1, shuffle="none")
+    run.fit(rows, rows)
+    path = scratch.scratch(spark)
+    logs.write_log(spark, run.logger.rows, path)
+    return logs.read_logs(spark, path).select("i", _r(F.col("loss")).alias("loss"), _r(F.col("train_accuracy"), 9).alias("train_accuracy"), _r(F.col("test_accuracy"), 9).alias("test_accuracy"))
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A place in the cluster's shared folder; a temporary folder only where none is set."""
-    import tempfile
+def gather_rows(spark, sf_dir):
+    """Customers by an index vector: for each event the customer whose number is seven times the event's, less whole rounds."""
+    rows = customers(spark, sf_dir)
+    order = _table(spark, sf_dir, "events").select(F.col("event_id").alias("position"), (F.col("event_id") * 7 % rows.count()).alias("row_id"))
+    return shuffle.gather(rows, order).select("position", "row_id", F.col("features")[0].alias("x0"), "label")
+
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ridgeline-")
-    return f"{shared}/ridgeline-{uuid.uuid4().hex}"
+def times_held(spark, sf_dir):
+    """Embeddings times a matrix of 64 x 3 that is made by a rule."""
+    m = np.array([[((3 * j + c) % 7 - 3) / 4 for c in range(3)] for j in range(FEATURES)])
+    out = kernel.times(matrix.embeddings(spark, sf_dir), m)
+    return out.select("row_id", *[_r(F.col("product")[c]).alias(f"p{c}") for c in range(3)])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
         matrix_scan, block_counts, block_read, split_features_label, scale_features, row_subset, concat_columns, union_batches, train_test_split_exact,
         one_hot, argmax_decode, threshold_predict, row_norms, frobenius_norm, gram_matrix, cross_moment, ridge_closed_1d, ridge_closed_2d,
-        ridge_closed_64d_residual, ridge_predict_accuracy, ridge_loss_norm, ridge_loss_objective, ridge_gradient_full, gd_trajectory, lr_schedule, log_sampling,
+        ridge_closed_64d, ridge_predict_accuracy, ridge_loss_norm, ridge_loss_objective, ridge_gradient_full, gd_trajectory, lr_schedule, log_sampling,
         block_local_shuffle, external_shuffle, global_shuffle, sgd_fold, sgd_fold_block_shuffled, ssgd_two_epochs, lambda_matrix, kernel_sgd, matmul_coo,
-        ssgd_stream, local_sgd_average, training_log_roundtrip,
+        ssgd_stream, local_sgd_average, training_log_roundtrip, gather_rows, times_held,
     )
     return {f.__name__: f for f in plain} | {f"kernel_{k}": _kernel(k) for k in kernel.KERNELS}
 

@@ -5,16 +5,17 @@ from __future__ import annotations
 import logging
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import wraps
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ridgeline.functions import arrays
 from ridgeline.operators import fold, kernel, stats
 from ridgeline.operators.shuffle import shuffled
+from ridgeline.sources import scratch
+from ridgeline.streaming import ssgd
 
 _LOG = logging.getLogger("ridgeline")
 
@@ -47,6 +48,9 @@ class Loss:
     def value(self, w: np.ndarray, m: stats.Moments) -> float:
         raise NotImplementedError
 
+    def value_at(self, w: np.ndarray, residual2: float) -> float:
+        raise NotImplementedError
+
 
 @dataclass(frozen=True)
 class Ridge(Loss):
@@ -55,7 +59,9 @@ class Ridge(Loss):
     reg: float = 0.1
 
     def minimum(self, m):
-        return np.linalg.solve(m.gram + self.reg * np.eye(len(m.gram)), m.cross)
+        """Without a ridge weight the normal equations may have many solutions; the shortest is taken then."""
+        a = m.gram + self.reg * np.eye(len(m.gram))
+        return np.linalg.solve(a, m.cross) if self.reg > 0 else np.linalg.lstsq(a, m.cross, rcond=None)[0]
 
     def gradient(self, w, m):
         return m.gram @ w - m.cross + self.reg * w
@@ -71,7 +77,43 @@ class Ridge(Loss):
 
     def value(self, w, m) -> float:
         """The norm form that logs show: |XW - Y| + reg |W|."""
-        return float(np.sqrt(self.residual2(w, m)) + self.reg * np.linalg.norm(w))
+        return self.value_at(w, self.residual2(w, m))
+
+    def value_at(self, w, residual2) -> float:
+        return float(np.sqrt(residual2) + self.reg * np.linalg.norm(w))
+
+
+def classes_of(scores: np.ndarray) -> np.ndarray:
+    """The class with the largest score, the first of ties; of one class, whether the score is above 0.5."""
+    return (scores[:, 0] > 0.5).astype(np.int32) if scores.shape[1] == 1 else scores.argmax(axis=1).astype(np.int32)
+
+
+def evaluate(matrix: DataFrame, weights: list[np.ndarray]) -> list[tuple[int, int, float]]:
+    """For each of the weights the rows of matrix, how many of them it predicts, and the sum of squared residuals. One pass over the rows for all weights that can be held at a time."""
+    out = []
+    for low in range(0, len(weights), step := max(1, kernel.HELD_BYTES // max(1, weights[0].nbytes)) if weights else 1):
+        part = weights[low : low + step]
+        held = matrix.sparkSession.sparkContext.broadcast(np.hstack(part))
+        classes = part[0].shape[1]
+
+        def run(batches, held=held, number=len(part), classes=classes):
+            rows, right, residual2 = 0, np.zeros(number, np.int64), np.zeros(number)
+            for batch in batches:
+                batch = stats.complete(batch)
+                if len(batch):
+                    labels = batch.column(1).to_numpy()
+                    y, scores = stats.targets(labels, classes), stats.to_numpy(batch.column(0)) @ held.value
+                    rows += len(batch)
+                    for i in range(number):
+                        own = scores[:, i * classes : (i + 1) * classes]
+                        right[i] += (classes_of(own) == labels).sum()
+                        residual2[i] += ((own - y) ** 2).sum()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(number, dtype=np.int32)), pa.array(np.full(number, rows)), pa.array(right), pa.array(residual2)], names=["i", "n", "hits", "residual2"])
+
+        found = matrix.select("features", "label").mapInArrow(run, "i int, n long, hits long, residual2 double").groupBy("i").sum("n", "hits", "residual2").collect()
+        found = {r[0]: (r[1], r[2], r[3]) for r in found}
+        out += [found.get(i, (0, 0, 0.0)) for i in range(len(part))]
+    return out
 
 
 class Model:
@@ -85,14 +127,18 @@ class Model:
         return cls(np.zeros((features, classes)))
 
     def predict(self, matrix: DataFrame) -> DataFrame:
-        """The class with the largest score, the first of ties; of one class, whether the score is above 0.5."""
-        columns = [arrays.dot(F.col("features"), F.array(*map(F.lit, map(float, c)))) for c in self.weights.T]
-        if len(columns) == 1:
-            return matrix.withColumn("prediction", arrays.above_half(columns[0]))
-        return matrix.withColumn("_scores", F.array(*columns)).withColumn("prediction", arrays.argmax(F.col("_scores"))).drop("_scores")
+        """matrix with prediction (see classes_of); null for rows without features. The weights are broadcast as an array, never written into the plan."""
+        held = matrix.sparkSession.sparkContext.broadcast(self.weights)
+
+        def run(x: np.ndarray) -> list[pa.Array]:
+            return [pa.array(classes_of(x @ held.value) if len(x) else np.zeros(0, np.int32))]
+
+        return stats.append(matrix, "prediction int", run)
 
     def accuracy(self, matrix: DataFrame) -> float:
-        return self.predict(matrix).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+        """The share of rows with features and a label that are predicted; not a number if there are none."""
+        ((n, hits, _),) = evaluate(matrix, [self.weights])
+        return hits / n if n else float("nan")
 
 
 class Logger:
@@ -123,10 +169,23 @@ class Algorithm:
     def fit(self, train: DataFrame, test: DataFrame | None = None) -> Model:
         raise NotImplementedError
 
-    def _log(self, log, m, train, test):
-        for t, w in log:
-            model = Model(w)
-            self.logger.iteration(t, self.loss.value(w, m), model.accuracy(train), model.accuracy(test) if test is not None else float("nan"))
+    def _log(self, log, train, test):
+        """A line for each of the logged (t, weights): loss and accuracies on whole matrices. Some weights at a time are held and evaluated in one pass."""
+        held, bytes_ = [], 0
+        for entry in log:
+            held.append(entry)
+            bytes_ += entry[1].nbytes
+            if bytes_ > kernel.HELD_BYTES:
+                self._lines(held, train, test)
+                held, bytes_ = [], 0
+        self._lines(held, train, test)
+
+    def _lines(self, entries, train, test):
+        weights = [w for _, w in entries]
+        tested = evaluate(test, weights) if test is not None else [(0, 0, 0.0)] * len(weights)
+        share = lambda n, hits, _: hits / n if n else float("nan")
+        for (t, w), on_train, on_test in zip(entries, evaluate(train, weights), tested, strict=True):
+            self.logger.iteration(t, self.loss.value_at(w, on_train[2]), share(*on_train), share(*on_test))
 
 
 class ClosedForm(Algorithm):
@@ -149,12 +208,16 @@ class GD(Algorithm):
     @timed
     def fit(self, train, test=None):
         train, test = self.hook(train), self.hook(test) if test is not None else None
-        m, log, w = stats.moments(train, self.classes), [], np.zeros((self.features, self.classes))
-        for t, w in self.path(m):
-            if self.steps.log_every and t % self.steps.log_every == 0:
-                log.append((t, w))
-        self._log(log, m, train, test)
-        return Model(w)
+        m, last = stats.moments(train, self.classes), [np.zeros((self.features, self.classes))]
+
+        def logged():
+            for t, w in self.path(m):
+                last[0] = w
+                if self.steps.log_every and t % self.steps.log_every == 0:
+                    yield t, w
+
+        self._log(logged(), train, test)
+        return Model(last[0])
 
 
 @dataclass
@@ -174,8 +237,7 @@ class SGD(Algorithm):
             ordered = shuffled(train, self.shuffle, self.seed, epoch, self.rows_per_block, rows)
             state = fold.run_fold(ordered, state, self.steps, self.classes, self.loss.row_gradient())
             self.logger.epoch(epoch)
-        if state.log:
-            self._log(state.log, stats.moments(train, self.classes), train, test)
+        self._log(state.log, train, test)
         return Model(state.weights)
 
 
@@ -185,6 +247,24 @@ class SSGD(SGD):
 
     shuffle: str = "external"
 
+    @timed
+    def stream(self, train: DataFrame) -> Model:
+        """The same descent over a stream of blocks that are written first, shuffled once; logs loss and accuracy on the current block after each block."""
+        train = self.hook(train)
+        spark, rows = train.sparkSession, train.count()
+        path = scratch.scratch(spark)
+        ssgd.write_blocks(shuffled(train, self.shuffle, self.seed, 0, self.rows_per_block, rows), path, self.rows_per_block)
+
+        def on_block(epoch: int, block: int, state: fold.State, current: DataFrame) -> None:
+            if self.steps.log_every:
+                ((n, hits, residual2),) = evaluate(current, [state.weights])
+                self.logger.iteration(state.t - 1, self.loss.value_at(state.weights, residual2), hits / n if n else float("nan"), float("nan"))
+
+        quiet = replace(self.steps, log_every=0)
+        state = ssgd.train_stream(spark, path, self.features, self.classes, quiet, self.epochs, on_block=on_block)
+        scratch.delete(spark, path)
+        return Model(state.weights)
+
 
 @dataclass
 class HSGD(Algorithm):
@@ -198,9 +278,9 @@ class HSGD(Algorithm):
         return Model(fold.local_average(self.hook(train), self.steps, self.features, self.classes, self.parts, self.seed))
 
 
-def kernel_matrix(matrix: DataFrame, name: str = "rbf", sigma: float = 1.0, reg: float = 0.1) -> DataFrame:
-    """K + reg * I with the labels, as a matrix to train on: weights found on it are the dual weights."""
-    rows = kernel.kernel_rows(matrix, name, sigma, reg)
+def kernel_matrix(matrix: DataFrame, name: str | kernel.TileFunction = "rbf", sigma: float = 1.0, reg: float = 0.1, tile_rows: int = kernel.TILE_ROWS) -> DataFrame:
+    """K + reg * I with the labels, as a matrix to train on: weights found on it are the dual weights. name: of a kernel, or a function of two tiles."""
+    rows = kernel.kernel_rows(matrix, name, sigma, reg, tile_rows)
     return rows.join(matrix.select("row_id", "label"), "row_id")
 
 

@@ -1,9 +1,11 @@
-"""Descent over a stream of blocks: each micro-batch is a block, the state is kept between them."""
+"""Descent over a stream of blocks: each micro-batch brings blocks, they are folded in their order, and the state is kept between them and over restarts."""
 
 from __future__ import annotations
 
-import os
-import uuid
+import io
+from collections.abc import Callable
+from dataclasses import dataclass, replace
+from math import ceil
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -11,36 +13,80 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions.arrays import block_of
 from ridgeline.operators.fold import State, Steps, run_fold
+from ridgeline.sources import scratch
 
-STORED = "position long, features array<double>, label int"
+STORED = "position long, features array<double>, label int, block long"
 
 
 def write_blocks(ordered: DataFrame, path: str, rows_per_block: int) -> int:
-    """One file for each block, written one after another, since a file stream goes by the files' times. Returns the number of blocks."""
-    ordered = ordered.select("position", "features", "label").withColumn("block", block_of(F.col("position"), rows_per_block))
-    blocks = [r.block for r in ordered.select("block").distinct().orderBy("block").collect()]
-    for block in blocks:
-        ordered.filter(F.col("block") == block).drop("block").coalesce(1).write.mode("append").parquet(path)
-    return len(blocks)
-
-
-def train_stream(spark: SparkSession, path: str, features: int, classes: int, steps: Steps, epochs: int = 1, checkpoint: str | None = None) -> State:
-    """Replays the blocks of path once for each epoch. A batch that was applied before a restart is not applied again."""
-    state = State.zero(features, classes)
-    root = checkpoint or f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp'}/ridgeline-stream-{uuid.uuid4().hex}"
-    for epoch in range(epochs):
-        applied: set[int] = set()
-
-        def block(batch: DataFrame, number: int, applied=applied) -> None:
-            nonlocal state
-            if number not in applied:
-                state = run_fold(batch, state, steps, classes)
-                applied.add(number)
-
-        stream = spark.readStream.schema(STORED).option("maxFilesPerTrigger", 1).parquet(path)
-        query = stream.writeStream.foreachBatch(block).option("checkpointLocation", os.path.join(root, str(epoch))).trigger(availableNow=True).start()
+    """A folder for each block, all written by one job: rows are shuffled once, by block. Returns the number of blocks."""
+    rows = ordered.select("position", "features", "label").withColumn("block", block_of(F.col("position"), rows_per_block))
+    rows.repartition("block").sortWithinPartitions("block", "position").write.mode("overwrite").partitionBy("block").parquet(path)
+    return sum(name.startswith("block=") for name in scratch.names(rows.sparkSession, path))
+
+
+@dataclass(frozen=True)
+class Progress:
+    """Where training stands: the epoch, blocks of it that have arrived, the first one that is not folded yet, the state before it."""
+
+    epoch: int
+    arrived: frozenset[int]
+    block: int
+    state: State
+
+
+def save(spark: SparkSession, root: str, p: Progress) -> None:
+    """Progress under a name that sorts by it. Older files go once it is there."""
+    out = io.BytesIO()
+    np.savez(out, weights=p.state.weights, change=p.state.change, t=p.state.t, arrived=sorted(p.arrived), epoch=p.epoch, block=p.block)
+    name = f"state-{p.epoch:08d}-{p.block:012d}-{len(p.arrived):012d}"
+    scratch.write_bytes(spark, f"{root}/{name}", out.getvalue())
+    for old in scratch.names(spark, root):
+        if old.startswith("state-") and old < name:
+            scratch.delete(spark, f"{root}/{old}")
+
+
+def saved(spark: SparkSession, root: str) -> Progress | None:
+    """The last progress under root."""
+    found = [n for n in scratch.names(spark, root) if n.startswith("state-") and not n.endswith(".tmp")]
+    if not found:
+        return None
+    with np.load(io.BytesIO(scratch.read_bytes(spark, f"{root}/{found[-1]}"))) as z:
+        return Progress(int(z["epoch"]), frozenset(z["arrived"].astype(int).tolist()), int(z["block"]), State(z["weights"], z["change"], int(z["t"])))
+
+
+Metric = Callable[[int, int, State, DataFrame], None]
+
+
+def train_stream(spark: SparkSession, path: str, features: int, classes: int, steps: Steps, epochs: int = 1, checkpoint: str | None = None, on_block: Metric | None = None) -> State:
+    """Replays the blocks of path once for each epoch.
+
+    Files arrive in no certain order, so a block waits until all before it are folded; it is read from where it lies then. After each block the progress is saved under
+    checkpoint, before the stream commits the batch. A call with the same checkpoint goes on where the last one ended, and a batch that is delivered again changes nothing. on_block(epoch, block,
+    state, rows) is called after each block, for metrics on the current block.
+    """
+    root = checkpoint or scratch.scratch(spark)
+    every = sorted(int(name.partition("=")[2]) for name in scratch.names(spark, path) if name.startswith("block="))
+    now = saved(spark, root) or Progress(0, frozenset(), 0, State.zero(features, classes))
+
+    def receive(batch: DataFrame, number: int) -> None:
+        nonlocal now
+        now = replace(now, arrived=now.arrived | {r.block for r in batch.select("block").distinct().collect()})
+        save(spark, root, now)
+        while (todo := [b for b in every if b >= now.block]) and todo[0] in now.arrived:
+            rows = spark.read.schema(STORED).parquet(path).filter(F.col("block") == todo[0])
+            now = replace(now, block=todo[0] + 1, state=run_fold(rows, now.state, steps, classes))
+            save(spark, root, now)
+            if on_block:
+                on_block(now.epoch, todo[0], now.state, rows)
+
+    while now.epoch < epochs:
+        stream = spark.readStream.schema(STORED).option("maxFilesPerTrigger", max(1, ceil(len(every) ** 0.5))).parquet(path)
+        query = stream.writeStream.foreachBatch(receive).option("checkpointLocation", f"{root}/epoch-{now.epoch}").trigger(availableNow=True).start()
         query.awaitTermination()
-    return state
+        now = Progress(now.epoch + 1, frozenset(), 0, now.state)
+        save(spark, root, now)
+    return now.state
 
 
 def weights_frame(spark: SparkSession, w: np.ndarray) -> DataFrame:
