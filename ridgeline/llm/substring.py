@@ -1,9 +1,15 @@
-"""Substring dedup by recompression: runs and pairs of tokens get names from their content, equal substrings get equal interior names."""
+"""Substring dedup by recompression: runs and pairs of tokens get names from their content, equal substrings get equal interior names.
+
+A round of recompression replaces runs of one symbol, then pairs of a left and a right symbol, by new symbols. What names them here is a hash of what they stand for: it gives the name that a
+table of all runs and pairs of the corpus would give, the same in every task, without a join of all tokens with such a table. Names only find candidates. What is removed is decided by a
+128-bit BLAKE2 digest of the words themselves, so a meeting of names costs time, never a word.
+"""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -111,18 +117,17 @@ def _least(rank: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return out
 
 
-def pieces(tokens: np.ndarray, second: np.ndarray, begin: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
-    """Row, first window, number of windows, anchor key and span key of each piece: windows in a row that share an anchor.
+def pieces(tokens: np.ndarray, begin: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, ...]:
+    """Row, first window, number of windows and anchor key of each piece: windows in a row that share an anchor.
 
     A window's anchor is the symbol of the highest level that the window's words alone decide, of these the one with the least hash, the leftmost among equals. So equal
     windows have equal anchors at equal places, wherever they stand. Every window has one, since a word is decided by itself. The anchor key names
-    level, words that decide the symbol, and its place in them. The span key names all words of the piece's windows, by their second hashes, and the anchor's place in them:
-    pieces with equal anchor and span keys have equal windows by two independent hashes of their words.
+    level, words that decide the symbol, and its place in them.
     """
     n = len(tokens)
     counts = np.diff(begin)
     row = np.repeat(np.arange(len(counts)), counts)
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U64, U64))
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U64))
     if n < window:
         return none
     at = np.arange(n)
@@ -148,8 +153,7 @@ def pieces(tokens: np.ndarray, second: np.ndarray, begin: np.ndarray, window: in
     sizes = np.diff(np.append(np.flatnonzero(fresh), len(at)))
     place = (level_of[p0] << 20 | (start_of[p0] - low_of[p0])).astype(U64)
     anchor = _text.mix(_text.sequences(tokens, low_of[p0], high_of[p0]) + place * _PAIR)
-    span = _text.mix(_text.sequences(second, p0, p0 + sizes + window - 1) + (start_of[p0] - p0).astype(U64) * _SIDE)
-    return row[p0], p0 - begin[row[p0]], sizes, anchor, span
+    return row[p0], p0 - begin[row[p0]], sizes, anchor
 
 
 # ---- over a table
@@ -167,22 +171,39 @@ def _unpacked(column: pa.Array) -> list[bytes]:
     return [press.decompress(t.as_buffer()) for t in column]
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """First row, word hashes, independent second hashes and offsets of each slice of texts in column 1."""
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each slice of texts in column 1: its first row, the bytes of the texts, starts and ends of all words, and the offset of each text's first word."""
     raw, at = _text.utf8(batch.column(1))
     for a, b in _text.slices(at):
         part = raw[at[a] : at[b]]
-        starts, ends, begin = _text.word_spans(part, at[a : b + 1] - at[a])
-        yield a, _text.span_hashes(part, starts, ends), _text.span_hashes(part, starts, ends, seed=1), begin
+        yield a, part, *_text.word_spans(part, at[a : b + 1] - at[a])
+
+
+def _spaced(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """All words with a space behind each, and where each starts in that (one more than words)."""
+    sizes = ends - starts + 1
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    out = raw[np.minimum(np.arange(at[-1]) + np.repeat(starts - at[:-1], sizes), len(raw) - 1)] if len(sizes) else np.zeros(0, np.uint8)
+    out[at[1:] - 1] = 32
+    return memoryview(out), at
+
+
+def _digests(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.Array:
+    """A digest of the words [first, last) of each range, whatever white space stood between them."""
+    line, at = _spaced(raw, starts, ends)
+    made = b"".join([blake2b(line[a:b], digest_size=16).digest() for a, b in zip(at[first].tolist(), at[last].tolist(), strict=True)])
+    return pa.Array.from_buffers(pa.binary(16), len(first), [None, pa.py_buffer(made)]).cast(pa.binary())
 
 
 def _pieces(window: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for a, tokens, second, begin in _slices(batch):
-                row, at, sizes, anchor, span = pieces(tokens, second, begin, window, rounds)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + a)), pa.array(at * (window + 1) + sizes), pa.array(_text.signed(anchor)), pa.array(_text.signed(span))], names=["doc_id", "piece", "anchor", "span"])
+            for a, raw, starts, ends, begin in _slices(batch):
+                row, at, sizes, anchor = pieces(_text.span_hashes(raw, starts, ends), begin, window, rounds)
+                first = begin[row] + at
+                span = _digests(raw, starts, ends, first, first + sizes + window - 1)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row + a)), pa.array(at * (window + 1) + sizes), pa.array(_text.signed(anchor)), span], names=["doc_id", "piece", "anchor", "span"])
             _text.release()
 
     return run
@@ -196,8 +217,7 @@ def _windows(window: int):
             wanted = batch.column(2).to_pylist()
             texts = pa.array(_unpacked(batch.column(1)), pa.large_binary()).cast(pa.large_string())
             plain = pa.RecordBatch.from_arrays([batch.column(0), texts], names=["doc_id", "text"])
-            for a, tokens, second, begin in _slices(plain):
-                grams, others = _text.rolling(tokens, window), _text.rolling(second, window)
+            for a, raw, starts, ends, begin in _slices(plain):
                 who, at, weight = [], [], []
                 for k in range(len(begin) - 1):
                     for w in wanted[a + k]:
@@ -209,7 +229,7 @@ def _windows(window: int):
                     continue
                 who, at, weight = np.concatenate(who), np.concatenate(at), np.concatenate(weight)
                 p = begin[who - a] + at
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), pa.array(at.astype(np.int32)), pa.array(weight.astype(np.int32)), pa.array(_text.signed(grams[p])), pa.array(_text.signed(others[p]))], names=["doc_id", "at", "weight", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), pa.array(at.astype(np.int32)), pa.array(weight.astype(np.int32)), _digests(raw, starts, ends, p, p + window)], names=["doc_id", "at", "weight", "words"])
 
     return run
 
@@ -243,12 +263,12 @@ def _removed(window: int):
 def drop_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_words, n_removed, kept: each text without the words of any window that starts more than once in all texts, the rest joined by single spaces.
 
-    window: at most 35 words, so that a piece's windows fit its code. Null and empty texts have no words. Windows are judged on the input alone. Rows need a doc_id of their own; rows that share one, or
+    Null and empty texts have no words. Windows are judged on the input alone. Rows need a doc_id of their own; rows that share one, or
     have none, are told apart by a number made here for the whole job, so repeated rows are each other's repeats.
 
     1. Recompression turns each text into pieces (see above). Anchors that occur once end here; counts by anchor are summed within tasks before they move, and hot anchors are never gathered.
-    2. A piece whose span occurs again has only repeated windows. Pieces of an anchor with several spans are contested: one of each span goes on, with the others' weight.
-    3. Of contested pieces the windows are hashed (128 bits) and counted.
+    2. A piece whose words occur again around the same anchor has only repeated windows. Pieces of an anchor with different words are contested: one of each span goes on, with the others' weight.
+    3. Of contested pieces the windows' words are digested and counted.
     Texts move compressed, by document.
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text")
@@ -256,7 +276,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) ->
     if not unique:
         rows = materialize(rows.withColumn("own", F.monotonically_increasing_id()))
         names, rows = rows.select("own", "doc_id"), rows.select(F.col("own").alias("doc_id"), "text")
-    found = materialize(rows.mapInArrow(_pieces(window, rounds), "doc_id long, piece long, anchor long, span long"))
+    found = materialize(rows.mapInArrow(_pieces(window, rounds), "doc_id long, piece long, anchor long, span binary"))
     anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("span").alias("lo"), F.max("span").alias("hi"))
     anchors = materialize(anchors.filter("n > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("contested")))
     shared = materialize(found.join(anchors, "anchor"))
@@ -265,10 +285,10 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) ->
     judged = materialize(shared.join(spans, ["anchor", "span"], "left").select("doc_id", "piece", "contested", "copies", (F.coalesce(F.col("chosen") == own, F.lit(True)) & F.col("contested")).alias("asked")))
     packed = rows.mapInArrow(_packed, "doc_id long, packed binary")
     asked = judged.filter("asked").groupBy("doc_id").agg(F.collect_list(F.struct("piece", F.coalesce("copies", F.lit(1)).cast("int").alias("weight"))).alias("wanted"))
-    windows = packed.join(asked, "doc_id").select("doc_id", "packed", "wanted").mapInArrow(_windows(window), "doc_id long, at int, weight int, h1 long, h2 long")
+    windows = packed.join(asked, "doc_id").select("doc_id", "packed", "wanted").mapInArrow(_windows(window), "doc_id long, at int, weight int, words binary")
     windows = materialize(windows)
-    again = materialize(windows.groupBy("h1", "h2").agg(F.sum("weight").alias("n")).filter("n > 1").select("h1", "h2"))
-    singles = windows.filter("weight = 1").join(again, ["h1", "h2"], "left_semi").select("doc_id", (F.col("at").cast("long") * (window + 1) + 1).alias("piece"))
+    again = materialize(windows.groupBy("words").agg(F.sum("weight").alias("n")).filter("n > 1").select("words"))
+    singles = windows.filter("weight = 1").join(again, "words", "left_semi").select("doc_id", (F.col("at").cast("long") * (window + 1) + 1).alias("piece"))
     repeated = singles.union(judged.filter("copies > 1").select("doc_id", "piece")).groupBy("doc_id").agg(F.collect_list("piece").alias("repeated"))
     out = packed.join(repeated, "doc_id", "left").select("doc_id", "packed", "repeated").mapInArrow(_removed(window), KEPT)
     if not unique:
