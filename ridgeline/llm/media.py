@@ -276,7 +276,8 @@ def text_media(docs: DataFrame) -> DataFrame:
     row of facts stays. Only the small facts are joined to the references, so a digest of very many documents moves no more bytes than another.
     """
     store = materialize(stored(docs))
-    facts = read_back(store.filter("media IS NOT NULL")).dropDuplicates(["digest"])
+    # written, so that the join below is of two plain shuffles, of which Spark splits a digest of very many documents
+    facts = materialize(read_back(store.filter("media IS NOT NULL")).dropDuplicates(["digest"]))
     found = references(sequences(store, "doc_id", "page"))
     carry = [x.split()[0] for x in DIGEST_COLUMNS.split(", ")[1:]]
     return resolve(found, facts, carry).select(F.col("key").alias("doc_id"), *carry, "position", "caption")
