@@ -2,34 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import shutil
-import tempfile
 import threading
-import uuid
 from functools import wraps
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SETTING = "spark.checkpoint.dir"
+from ridgeline.sources import scratch
+
 _NAME = re.compile(r"ridgeline-[0-9a-f]{32}")
 _scopes = threading.local()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder. Where none is set, a temporary one if driver and executors are one machine (as in tests), else an error, since no local folder would do."""
-    found = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"{SETTING} has to name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="ridgeline-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set(SETTING, found)
-    return found.rstrip("/")
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
@@ -37,7 +22,7 @@ def materialize(df: DataFrame) -> DataFrame:
     the columns stay compressed and can be pruned, and the written size lets Spark choose joins.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ridgeline-{uuid.uuid4().hex}"
+    path = scratch.scratch(spark)
     schema = df.schema
     if made := getattr(_scopes, "made", None):
         made[-1].append(path)
@@ -49,15 +34,10 @@ def _tables(df: DataFrame) -> set[str]:
     return {name for file in df.inputFiles() for name in _NAME.findall(file)}
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
-
-
 def discard(df: DataFrame) -> None:
     """Delete a table of materialize() that no later step reads."""
     for file in df.inputFiles()[:1]:
-        _delete(df.sparkSession, file.rsplit("/", 1)[0])
+        scratch.delete(df.sparkSession, file.rsplit("/", 1)[0])
 
 
 def tidy(df: DataFrame) -> DataFrame:
@@ -66,7 +46,7 @@ def tidy(df: DataFrame) -> DataFrame:
     used = _tables(df) if made else set()
     for path in made:
         if path.rsplit("/", 1)[1] not in used:
-            _delete(df.sparkSession, path)
+            scratch.delete(df.sparkSession, path)
     made[:] = [path for path in made if path.rsplit("/", 1)[1] in used]
     return df
 

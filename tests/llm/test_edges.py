@@ -173,9 +173,10 @@ def test_operators_leave_no_table_behind_that_their_result_does_not_read(docs):
     import re
 
     from ridgeline.llm import _store
+    from ridgeline.sources import scratch
 
     def there():
-        return {re.search("ridgeline-[0-9a-f]{32}", x)[0] for x in glob.glob(f"{_store.shared_dir(docs.sparkSession)}/ridgeline-*")}
+        return {re.search("ridgeline-[0-9a-f]{32}", x)[0] for x in glob.glob(f"{scratch.shared_dir(docs.sparkSession)}/ridgeline-*")}
 
     labels = docs.sparkSession.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
     for operator in (minhash.near_duplicates, minhash.keep_one, substring.drop_repeats, media.text_media, lambda d: toxicity.score(d, labels)):
@@ -188,11 +189,11 @@ def test_operators_leave_no_table_behind_that_their_result_does_not_read(docs):
 def test_no_local_folder_on_a_cluster(spark):
     from types import SimpleNamespace
 
-    from ridgeline.llm import _store
+    from ridgeline.sources import scratch
 
     conf = SimpleNamespace(get=lambda *_: None)
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        _store.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://a:7077", getConf=lambda: conf)))
+        scratch.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://a:7077", getConf=lambda: conf)))
 
 
 def test_stages_keep_the_columns_of_documents(docs, nothing):
