@@ -1,6 +1,5 @@
 """Operators against brute force, exact round trips, other implementations and held-out labels."""
 
-import os
 import random
 import re
 
@@ -389,27 +388,91 @@ def test_against_sql(spark, data, name):
     assert found == expected
 
 
-def test_pipeline(spark, data):
+WORD_RE = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def plain_boilerplate(rows, ratio=0.05):
+    """doc_id and text without the lines of their source that stand on more than a share of its distinct texts, and on more than one."""
+    pages, counts = {}, {}
+    for r in rows:
+        if r.source is not None and r.text is not None:
+            pages.setdefault(r.source, set()).add(r.text)
+    for source, texts in pages.items():
+        for text in texts:
+            for line in set(text.split("\n")):
+                counts[source, line] = counts.get((source, line), 0) + 1
+    gone = {k for k, n in counts.items() if n > 1 and n > ratio * len(pages[k[0]])}
+    return {r.doc_id: r.text if r.text is None else "\n".join(x for x in r.text.split("\n") if (r.source, x) not in gone) for r in rows}
+
+
+def plain_mix(rows):
+    """The texts of the mix, sorted, with their doc_id: targets by resharing, order by md5 of doc_id, whole epochs and a cut."""
+    import hashlib
+
+    size = {r.doc_id: len(WORD_RE.findall(r.text or "")) for r in rows}
+    by_source = {}
+    for r in rows:
+        by_source.setdefault(r.source, []).append(r)
+    order = sorted((x for x in by_source if x is not None)) + [None] * (None in by_source)
+    weight, total = {x: (5, 2, 1)[i % 3] for i, x in enumerate(order)}, {x: sum(size[r.doc_id] for r in by_source[x]) for x in order}
+    capped = {}
+    while True:
+        free = [x for x in order if x not in capped]
+        left = 1.5 * sum(total.values()) - sum(capped.values())
+        target = capped | {x: left * weight[x] / sum(weight[f] for f in free) for x in free}
+        over = [x for x in free if target[x] > 2 * total[x]]
+        if not over:
+            break
+        capped |= {x: 2.0 * total[x] for x in over}
+    out = []
+    for source in order:
+        left = int(target[source] + 1e-9)
+        rows_ = sorted(by_source[source], key=lambda r: (hashlib.md5(f"17-{r.doc_id}".encode()).hexdigest(), r.doc_id))
+        while left > 0:
+            for r in rows_:
+                n = min(left, size[r.doc_id])
+                left -= n
+                if n == size[r.doc_id] and n:
+                    out.append((r.doc_id, r.text))
+                elif n:
+                    out.append((r.doc_id, r.text[: list(WORD_RE.finditer(r.text))[n - 1].end()]))
+    return sorted(out)
+
+
+def test_pipeline_equals_plain_stages(spark, data):
+    """Every stage on what the one before it kept, against a plain version of it."""
+    import sentencepiece
+
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{data}/documents.parquet")
-    kept = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = corpus_pipeline.materialize(stage(spark, kept, data))
+    kept, stages = docs, dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["language", "line_dedup", "near_dedup", "mix_sources", "encode"]
+    for name in list(stages)[:-1]:
+        rows = kept.orderBy("doc_id").collect()
+        out = corpus_pipeline.materialize(stages[name](spark, kept, data))
         assert out.columns == docs.columns
+        found = out.collect()
         if name == "language":
-            assert out.count() == kept.filter("text rlike '\\\\p{L}'").count()
+            judged = plain_bayes([(r.text, r.lang) for r in rows if r.lang and r.text is not None], [r.text for r in rows])
+            assert {r.doc_id for r in found} == {r.doc_id for r, (lang, score) in zip(rows, judged, strict=True) if lang != "und" and score >= 0.5}
+            assert len(found) > 0.9 * len(rows)
         if name == "line_dedup":
-            assert out.count() == kept.count()
+            assert {r.doc_id: r.text for r in found} == plain_boilerplate(rows)
+            assert any(r.text != o.text for r, o in zip(sorted(found, key=lambda r: r.doc_id), rows, strict=True))
         if name == "near_dedup":
-            texts = [r.text for r in kept.orderBy("doc_id").collect()]
-            ids = [r.doc_id for r in kept.orderBy("doc_id").collect()]
-            groups = brute_components([re.sub("[A-Z]", lambda m: m[0].lower(), t) for t in texts], 5)
-            assert {r.doc_id for r in out.collect()} == {ids[root] for _, root in groups.values()}
+            groups = brute_components([re.sub("[A-Z]", lambda m: m[0].lower(), r.text) for r in rows], 5)
+            assert {r.doc_id for r in found} == {rows[root].doc_id for _, root in groups.values()} and len(found) < len(rows)
+        if name == "mix_sources":
+            assert sorted((r.doc_id, r.text) for r in found) == plain_mix(rows)
         kept = out
-    final = corpus_pipeline.STAGES[-1][1](spark, kept, data).collect()
-    assert len(final) == kept.count() and all(r.decoded_equal for r in final)
-    assert os.path.exists(pieces.DEFAULT_MODEL)
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.DEFAULT_MODEL)
+    rows, final = kept.collect(), stages["encode"](spark, kept, data).collect()
+    assert sorted((r.doc_id, r.pieces) for r in final) == sorted((r.doc_id, model.encode(r.text)) for r in rows)
+    assert all(r.decoded_equal and r.n_pieces == len(r.pieces) for r in final)
+    # and the whole as one query
+    whole = queries.pipeline(spark, data).collect()
+    assert sorted((r.doc_id, r.source, r.pieces) for r in whole) == sorted((r.doc_id, r.source, r.pieces) for r in final)
 
 
 def test_rare_toxic_words_are_found_in_long_texts(spark):
