@@ -37,7 +37,7 @@ COEFFICIENTS = "SELECT 0::INT AS j, t, {more}round(w0, 6) + 0.0 AS w FROM l UNIO
 
 def _ordered(places: str) -> str:
     """o: the rows of CUSTOMERS with t, by epoch and place."""
-    return f"WITH RECURSIVE {CUSTOMERS}, {places}, o AS MATERIALIZED (SELECT x, y, row_number() OVER (ORDER BY epoch, place) - 1 AS t FROM q)"
+    return f"WITH RECURSIVE {CUSTOMERS}, {places}, o AS MATERIALIZED (SELECT x, y, epoch, place, row_number() OVER (ORDER BY epoch, place) - 1 AS t FROM q)"
 
 
 def _fold(order: str, epochs: int) -> str:
@@ -51,6 +51,13 @@ p AS (SELECT *, row_number() OVER (ORDER BY slice_id, {_key(4, 0)}, row_id) - 1
     return f"{_ordered(places)}, {ONE_FOLD}, {LAST} {COEFFICIENTS.format(more='(SELECT ceil(n.n / 200.0)::BIGINT FROM n) AS blocks, ')}"
 
 
+def _metrics() -> str:
+    places = f"p AS (SELECT *, row_number() OVER (ORDER BY {_key(3, 0)}, row_id) - 1 AS place FROM c), q AS (SELECT 0 AS epoch, x, y, place FROM p)"
+    return f"""{_ordered(places)}, {ONE_FOLD}, b AS (SELECT place // 200 AS block, max(t) AS t FROM o GROUP BY 1)
+SELECT b.t::INT AS i, round(sqrt(sum(power(x * w0 + w1 - y, 2))) + 0.1::DOUBLE * sqrt(any_value(w0 * w0 + w1 * w1)), 6) + 0.0 AS loss, round(avg(((x * w0 + w1 > 0.5)::INT = y)::INT), 9) + 0.0 AS accuracy
+FROM b JOIN f ON f.t = b.t + 1 JOIN o ON o.place // 200 = b.block GROUP BY b.t"""
+
+
 def _log() -> str:
     return f"""{_ordered("q AS (SELECT 0 AS epoch, *, row_id AS place FROM c)")}, {ONE_FOLD}
 SELECT (t - 1)::INT AS i, round(sqrt(sum(power(x * w0 + w1 - y, 2))) + 0.1::DOUBLE * sqrt(any_value(w0 * w0 + w1 * w1)), 6) + 0.0 AS loss,
@@ -120,6 +127,13 @@ SELECT row_id, slice_id, row_number() OVER (ORDER BY slice_id, {_key(4, 0)}, row
     "ssgd_stream": _stream(),
     "local_sgd_average": _parts(4),
     "training_log_roundtrip": _log(),
+    "ssgd_stream_metrics": _metrics(),
+    "kernel_unblocked": f"WITH {E}, {PAIRS} SELECT i, j, round(exp(-d2 / 2.0::DOUBLE), 6) + 0.0 AS k FROM p",
+    "matrix_saved": f"WITH {E} SELECT row_id, label, len(v)::INT AS d, round(list_sum([x::FLOAT::DOUBLE FOR x IN v]), 6) + 0.0 AS total FROM e",
+    "blocks_saved": f"WITH {E} SELECT row_id // 100 AS block_id, count(*) AS n, max(row_id) AS last_row, round(sum(list_sum(v)), 6) + 0.0 AS total FROM e GROUP BY 1",
+    "ridge_closed_hooked": f"""WITH {CUSTOMERS}, m AS (SELECT sum(x * x) / 65025.0::DOUBLE + {REG} AS a, sum(x) / 65025.0::DOUBLE AS b, count(*) / 65025.0::DOUBLE + {REG} AS d, sum(x * y) / 255.0::DOUBLE AS u, sum(y) / 255.0::DOUBLE AS v FROM c)
+SELECT 0::INT AS j, round((u * d - v * b) / (a * d - b * b), 6) + 0.0 AS w FROM m UNION ALL SELECT 1::INT, round((v * a - u * b) / (a * d - b * b), 6) + 0.0 FROM m""",
+    "zero_model": "SELECT label::INT AS label, 0::INT AS prediction, count(*) AS n FROM embeddings GROUP BY label",
     "gather_rows": """SELECT event_id AS position, c_custkey AS row_id, c_acctbal / 1e4::DOUBLE AS x0, (c_mktsegment = 'BUILDING')::INT AS label
 FROM events JOIN customer ON c_custkey = event_id * 7 % (SELECT count(*) FROM customer)""",
     "times_held": f"WITH {E} SELECT row_id, "

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions import arrays
 from ridgeline.operators import fold, kernel, shuffle, stats
-from ridgeline.plans.ridge import GD, SGD, ClosedForm, Model, Ridge, kernel_matrix
+from ridgeline.plans.ridge import GD, SGD, SSGD, ClosedForm, Model, Ridge, kernel_matrix
 from ridgeline.sources import logs, matrix, scratch
 from ridgeline.streaming import ssgd
 
@@ -287,6 +287,50 @@ def times_held(spark, sf_dir):
     return out.select("row_id", *[_r(F.col("product")[c]).alias(f"p{c}") for c in range(3)])
 
 
+def ssgd_stream_metrics(spark, sf_dir):
+    """Loss and accuracy on the current block after each block of a stream."""
+    rows = customers(spark, sf_dir)
+    run = SSGD(2, 1, Ridge(REG), replace(STEPS, log_every=1), epochs=1, shuffle="global", rows_per_block=STREAM_BLOCK, seed=3)
+    run.stream(rows)
+    path = scratch.scratch(spark)
+    logs.write_log(spark, run.logger.rows, path)
+    return logs.read_logs(spark, path).select("i", _r(F.col("loss")).alias("loss"), _r(F.col("train_accuracy"), 9).alias("accuracy"))
+
+
+def kernel_unblocked(spark, sf_dir):
+    """All pairs at once: the whole matrix is one tile."""
+    rows = matrix.embeddings(spark, sf_dir)
+    return kernel.kernel_cells(rows, "rbf", 1.0, max(1, rows.count())).select("i", "j", _r(F.col("k")).alias("k"))
+
+
+def matrix_saved(spark, sf_dir):
+    """Embeddings with their labels, saved with narrower elements in files of 100 rows and opened again."""
+    path = scratch.scratch(spark)
+    matrix.save(matrix.embeddings(spark, sf_dir), path, 100, "float")
+    return matrix.reopen(spark, path).select("row_id", "label", F.size("features").alias("d"), _r(arrays.total(arrays.as_double(F.col("features")))).alias("total"))
+
+
+def blocks_saved(spark, sf_dir):
+    """Embeddings saved in a folder for each block, and what the blocks hold then."""
+    path = scratch.scratch(spark)
+    matrix.save_blocks(matrix.embeddings(spark, sf_dir), path, BLOCK)
+    found = matrix.reopen(spark, path).groupBy("block_id").agg(F.count("*").alias("n"), F.max("row_id").alias("last_row"), F.sum(arrays.total(F.col("features"))).alias("total"))
+    return found.select(F.col("block_id").cast("long").alias("block_id"), "n", "last_row", _r(F.col("total")).alias("total"))
+
+
+def ridge_closed_hooked(spark, sf_dir):
+    """A closed form behind a hook that scales the features."""
+    hook = lambda m: m.withColumn("features", arrays.scale(F.col("features"), 255.0))
+    w = ClosedForm(2, 1, Ridge(REG), hook=hook).fit(customers(spark, sf_dir)).weights
+    return ssgd.weights_frame(spark, w).select("j", _r(F.col("w")).alias("w"))
+
+
+def zero_model(spark, sf_dir):
+    """What a model without training predicts: of equal scores the first class."""
+    found = Model.zero(FEATURES, CLASSES).predict(matrix.embeddings(spark, sf_dir))
+    return found.groupBy("label", "prediction").agg(F.count("*").alias("n"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
         matrix_scan, block_counts, block_read, split_features_label, scale_features, row_subset, concat_columns, union_batches, train_test_split_exact,
@@ -294,6 +338,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ridge_closed_64d, ridge_predict_accuracy, ridge_loss_norm, ridge_loss_objective, ridge_gradient_full, gd_trajectory, lr_schedule, log_sampling,
         block_local_shuffle, external_shuffle, global_shuffle, sgd_fold, sgd_fold_block_shuffled, ssgd_two_epochs, lambda_matrix, kernel_sgd, matmul_coo,
         ssgd_stream, local_sgd_average, training_log_roundtrip, gather_rows, times_held,
+        ssgd_stream_metrics, kernel_unblocked, matrix_saved, blocks_saved, ridge_closed_hooked, zero_model,
     )
     return {f.__name__: f for f in plain} | {f"kernel_{k}": _kernel(k) for k in kernel.KERNELS}
 
