@@ -26,6 +26,21 @@ NOTICES = (
     ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
     ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages"),
+    ("epl-2", "under the terms of the eclipse public license 2 0"),
+    ("boost-1", "distributed under the boost software license version 1 0"),
+    ("cc-by-nd", "creative commons attribution noderivatives 4 0 international"),
+    ("cc-by-nc-sa", "creative commons attribution noncommercial sharealike 4 0 international"),
+    ("cc-by-nc-nd", "creative commons attribution noncommercial noderivatives 4 0 international"),
+    ("mit", "spdx license identifier mit"),
+    ("apache-2", "spdx license identifier apache 2 0"),
+    ("gpl-2", "spdx license identifier gpl 2 0"),
+    ("gpl-3", "spdx license identifier gpl 3 0"),
+    ("bsd-2", "spdx license identifier bsd 2 clause"),
+    ("bsd-3", "spdx license identifier bsd 3 clause"),
+    ("mpl-2", "spdx license identifier mpl 2 0"),
 )
 #: Words of a gram; diagonals this near to each other are one occurrence with words put in or left out; least share of a notice's grams,
 #: and the length in grams under which a notice must stand whole, since versions differ in one word.

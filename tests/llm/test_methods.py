@@ -298,6 +298,20 @@ def test_licenses_in_longer_notices(spark):
     assert all(s.share >= licenses.LEAST for r in rows.values() for s in r.spans)
 
 
+def test_every_license_notice_finds_itself(spark):
+    """In its own words, in another case and with other marks between them; short ones only whole, and no notice under another label that differs in a word of a short one."""
+    texts = [f"some words before. {n.upper().replace(' ', ' - ')}; and after" for _, n in licenses.NOTICES]
+    short = [(label, n) for label, n in licenses.NOTICES if len(n.split()) - licenses.GRAM + 1 < licenses.SHORT]
+    broken = [" ".join(["so", *n.split()[:2], "other", *n.split()[3:]]) for _, n in short]
+    rows = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts + broken)), "doc_id long, text string")).collect()}
+    for i, (label, notice) in enumerate(licenses.NOTICES):
+        assert label in rows[i].labels.split(",") and rows[i].score == 1.0
+        assert any(s.label == label and (s.first, s.last) == (3, 2 + len(notice.split())) for s in rows[i].spans)
+    for i, (label, n) in enumerate(short):
+        assert all(s.label != label or s.last - s.first + 1 < len(n.split()) for s in rows[len(texts) + i].spans)
+    assert rows[[l for l, _ in licenses.NOTICES].index("cc-by-nc-sa")].labels == "cc-by-nc-sa"
+
+
 def test_media_sequences(spark):
     page = '<html><head><title>t</title></head><body><p>one &amp; <b>two</b> <i>three</i></p><script>var t="</p>";</script><figure><img src="media:aa" alt="x"><figcaption>cap</figcaption></figure>three<img src="http://e/x.png" alt="y"></body>'
     items = media.parse(page)
