@@ -75,20 +75,25 @@ def mix(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, s
 def mix_texts(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The mix itself: docs with its own columns, each row as often as its taken words hold it whole, and the row at a cut once more, cut after its share of words.
 
-    n_chars, where there is such a column, follows the text. Rows join their part by doc_id, source and size. What shares
-    all three stands side by side in the order, so its parts have three values at most (before, at and behind the cut), which are dealt to its rows in the order of their texts.
+    n_chars, where there is such a column, follows the text. Rows join their part by doc_id, source and size, which moves the texts once. What shares
+    all three stands side by side in the order, so its parts have three values at most (before, at and behind the cut); they are dealt to its rows in the order of their texts.
     """
     p = own_prefix(docs)
     id_, source, n, taken, whole, rest, cut = (F.col(f"{p}{c}") for c in ("id", "source", "n", "taken", "whole", "rest", "cut"))
     same = [F.col("doc_id").alias(f"{p}id"), F.col("source").alias(f"{p}source"), F.col("size").alias(f"{p}n")]
     values = mix(docs, seed).groupBy(*same, "taken").agg(F.count("*").alias(f"{p}rows"))
-    values = values.groupBy(id_, source, n).agg(F.sort_array(F.collect_list(F.struct(F.col("taken").alias("taken"), F.col(f"{p}rows").alias("rows"))), asc=False).alias(f"{p}values"))
-    rows = docs.withColumn(f"{p}size", n_words(F.col("text")))
-    rows = rows.join(values, F.col("doc_id").eqNullSafe(id_) & F.col("source").eqNullSafe(source) & (F.col(f"{p}size") == n))
-    place = F.row_number().over(Window.partitionBy("doc_id", "source", f"{p}size").orderBy("text"))
+    parts = F.sort_array(F.collect_list(F.struct(F.col("taken").alias("taken"), F.col(f"{p}rows").alias("rows"))), asc=False)
+    values = materialize(values.groupBy(id_, source, n).agg(parts.alias(f"{p}values"), F.sum(f"{p}rows").alias(f"{p}all")))
+    sized = docs.withColumn(f"{p}size", n_words(F.col("text")))
+    joined = lambda part: sized.join(part, F.col("doc_id").eqNullSafe(id_) & F.col("source").eqNullSafe(source) & (F.col(f"{p}size") == n))
     first, second, third = (F.get(f"{p}values", F.lit(i)) for i in range(3))
-    own = F.when(F.col(f"{p}place") <= first["rows"], first["taken"]).when(F.col(f"{p}place") <= first["rows"] + second["rows"], second["taken"]).otherwise(third["taken"])
-    rows = rows.withColumn(f"{p}place", place).withColumn(f"{p}taken", own)
+    alone = F.col(f"{p}all") == 1
+    rows = joined(values.filter(alone & (first["taken"] > 0))).withColumn(f"{p}taken", first["taken"])
+    shared = materialize(values.filter(~alone))
+    if shared.limit(1).count():
+        place = F.row_number().over(Window.partitionBy("doc_id", "source", f"{p}size").orderBy("text"))
+        own = F.when(F.col(f"{p}place") <= first["rows"], first["taken"]).when(F.col(f"{p}place") <= first["rows"] + second["rows"], second["taken"]).otherwise(third["taken"])
+        rows = rows.union(joined(shared).withColumn(f"{p}place", place).withColumn(f"{p}taken", own).drop(f"{p}place"))
     size = F.greatest(F.col(f"{p}size"), F.lit(1))
     rows = rows.filter(taken > 0).withColumn(f"{p}whole", F.floor(taken / size).cast("int")).withColumn(f"{p}rest", (taken % size).cast("int"))
     copies = F.concat(F.array_repeat(F.lit(0), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
