@@ -187,6 +187,26 @@ def test_kernel_descent(spark, small):
     assert np.allclose(state.weights, plain_fold(lam, y, steps))
 
 
+def test_kernel_descent_stores_no_kernel_matrix(spark, data, small, monkeypatch):
+    """The fold makes each row of K + reg I when it comes to it, in parts of any size, with the features in memory or in a file; a row without a label is a column but no step."""
+    x, _, rows = small
+    lam = np.exp(-((x[:, None] - x[None]) ** 2).sum(-1) / 2) + 0.1 * np.eye(60)
+    rows = rows.withColumn("label", F.when(F.col("row_id") != 7, (F.col("label") < 1).cast("int")))
+    label = {r.row_id: r.label for r in rows.collect()}
+    own = [i for i in range(60) if i != 7]
+    steps = fold.Steps(eta0=0.01, damp=0.9, step=7, momentum=0.5, reg=0.0, log_every=0)
+    expected = plain_fold(lam[own], np.array([[label[i]] for i in own], float), steps)
+    no_features = rows.unionByName(spark.createDataFrame([(60, None, 1)], rows.schema))
+    for strip, held in ((kernel.STRIP_BYTES, kernel.HELD_BYTES), (8 * 60 * 13, 1), (1, 300)):
+        monkeypatch.setattr(kernel, "STRIP_BYTES", strip)
+        state = kernel.kernel_fold(no_features.repartition(5), steps, 1, "rbf", 1.0, 0.1, held)
+        assert np.allclose(state.weights, expected) and state.t == 59
+    for whole in ("kernel_rows", "kernel_strips", "kernel_cells"):
+        monkeypatch.setattr(kernel, whole, None)
+    assert queries.queries()["kernel_sgd"](spark, data).count() == 500
+    assert kernel.kernel_fold(rows.limit(0), steps).t == 0
+
+
 def test_products(spark, small):
     x, _, rows = small
     m = np.arange(8.0).reshape(4, 2)
