@@ -207,6 +207,24 @@ def test_kernel_descent_stores_no_kernel_matrix(spark, data, small, monkeypatch)
     assert kernel.kernel_fold(rows.limit(0), steps).t == 0
 
 
+@pytest.mark.parametrize("columns", [None, 60, 25])
+def test_a_large_tile_is_made_in_parts(small, monkeypatch, columns):
+    """However many cells a pair of tiles has, STRIP_BYTES of them are made at a time; rows can meet the whole matrix, in tasks of their own."""
+    x, _, rows = small
+    monkeypatch.setattr(kernel, "STRIP_BYTES", 8 * 60 * 7)
+
+    def bounded(a, b, sigma):
+        if len(a) * len(b) > 60 * 7:
+            raise ValueError("too many cells at once")
+        return kernel.sqdist_tile(a, b)
+
+    found = {(r.i, r.j): r.k for r in kernel.kernel_cells(rows, bounded, 1.0, 60 if columns is None else 11, columns).collect()}
+    assert len(found) == 3600 and np.allclose([[found[i, j] for j in range(60)] for i in range(60)], ((x[:, None] - x[None]) ** 2).sum(-1))
+    diagonal = {r.i: r.k for r in kernel.kernel_cells(rows, "rbf", 1.0, 60 if columns is None else 11, columns).filter("i = j").collect()}
+    assert diagonal == dict.fromkeys(range(60), 1.0)
+    assert columns or kernel.kernel_rows(rows, "rbf", 1.0, 0.0, 60).count() == 60
+
+
 def test_products(spark, small):
     x, _, rows = small
     m = np.arange(8.0).reshape(4, 2)
