@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ridgeline.functions import arrays
 from ridgeline.operators import fold, kernel, shuffle, stats
 from ridgeline.plans import oracle, queries
-from ridgeline.plans.ridge import GD, SGD, SSGD, ClosedForm, Model, Ridge, kernel_matrix
+from ridgeline.plans.ridge import GD, SGD, SSGD, ClosedForm, Model, Ridge, evaluate_blocks, kernel_matrix
 from ridgeline.sources import logs, matrix
 from ridgeline.streaming import ssgd
 
@@ -159,6 +159,29 @@ def test_a_stream_goes_on_after_a_crash(spark, small, tmp_path, after):
     assert len([n for n in os.listdir(at) if n.startswith("state-")]) == 1
 
 
+def test_ready_blocks_of_a_stream_are_folded_by_one_job(spark, tmp_path):
+    """The number of jobs follows the micro-batches, not the blocks; each block has its own state and its own metrics all the same."""
+    r = np.random.default_rng(3)
+    x, labels = r.normal(size=(400, 3)), r.integers(0, 2, 400)
+    rows = rows_of(spark, x, labels).withColumn("position", F.col("row_id"))
+    rows = rows.withColumn("label", F.when(F.floor(F.col("row_id") / 4) != 31, F.col("label")))  # block 31 has no whole row
+    steps = fold.Steps(eta0=0.01, damp=0.9, step=50, momentum=0.5, reg=0.2, log_every=0)
+    path, calls = str(tmp_path / "blocks"), []
+    assert ssgd.write_blocks(rows, path, 4) == 100
+    state = ssgd.train_stream(spark, path, 3, 1, steps, checkpoint=str(tmp_path / "at"), on_blocks=lambda e, blocks, current: calls.append((blocks, evaluate_blocks(current, [(b, s.weights) for b, s in blocks]))))
+    assert len(calls) <= 16 and [b for blocks, _ in calls for b, _ in blocks] == list(range(100))
+    w, change, t = np.zeros((3, 1)), np.zeros((3, 1)), 0
+    for (block, after), (n, hits, residual2) in zip([x for blocks, _ in calls for x in blocks], [x for _, found in calls for x in found], strict=True):
+        own = slice(4 * block, 4 * block + 4)
+        for row, target in zip(x[own], labels[own], strict=True) if block != 31 else ():
+            change = steps.eta0 * steps.damp ** (t // 50) * (np.outer(row, row @ w - [target]) + 0.2 * w) + 0.5 * change
+            w, t = w - change, t + 1
+        score = (x[own] @ w)[:, 0]
+        assert np.allclose(after.weights, w) and after.t == t and n == (4 if block != 31 else 0)
+        assert block == 31 or (hits == ((score > 0.5) == labels[own]).sum() and np.isclose(residual2, ((score - labels[own]) ** 2).sum()))
+    assert np.allclose(state.weights, w) and state.t == 396
+
+
 @pytest.mark.parametrize("tile", [1, 7, 60, 100])
 def test_kernels(small, tile):
     x, _, rows = small
