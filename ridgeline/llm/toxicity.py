@@ -1,4 +1,4 @@
-"""Toxicity: two class-conditional Kneser-Ney models over expressions, compared by the log-likelihood ratio of a text's strongest expression for its length."""
+"""Toxicity: two class-conditional Kneser-Ney models over words and pairs of words, compared by the log-likelihood ratio of a text's strongest expression for its length."""
 
 from __future__ import annotations
 
@@ -56,48 +56,99 @@ def words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.nd
         yield last - first, letters, row, _text.signed(_text.span_hashes(letters.view(np.uint8), 4 * starts, 4 * stops)), starts, stops
 
 
-def _pairs(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For slices of a column: rows of the slice, and row and hash of each word of each of them once."""
+def _once(row: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Places of each key of each row once, in the order of rows and keys."""
+    order = np.lexsort((key, row))
+    row, key = row[order], key[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
+    return order[new]
+
+
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hashes of pairs from the hashes of their words; the order counts, and the mixing is not linear."""
+    with np.errstate(over="ignore"):
+        x = first.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(29))) + second.view(np.uint64)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
+def _expressions(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, tuple[np.ndarray, ...]]]:
+    """For slices of a column: rows of the slice, row and hash of each word of each of them once, and row, hash, first and second word of each pair of neighbours once."""
     for n, _, row, key, _, _ in words(column):
-        order = np.lexsort((key, row))
-        row, key = row[order], key[order]
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
-        yield n, row[new], key[new]
+        one = _once(row, key)
+        at = np.flatnonzero(row[1:] == row[:-1])
+        pair = pair_keys(key[at], key[at + 1])
+        two = _once(row[at], pair)
+        at = at[two]
+        yield n, row[one], key[one], (row[at], pair[two], key[at], key[at + 1])
 
 
-COUNTED = "key long, n0 long, n1 long"
+#: An expression: a word and the word after it, or null for the word by itself.
+COUNTED = "first long, second long, n0 long, n1 long"
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, labels, held = [], [], 0
-    for batch in batches:
-        label, done = batch.column(0).to_numpy(zero_copy_only=False), 0
-        for n, row, key in _pairs(batch.column(1)):
-            keys.append(key)
-            labels.append(label[done : done + n][row])
-            done += n
-            held += len(key)
-            if held >= GROUP_WORDS:
-                yield from _counted(keys, labels)
-                keys, labels, held = [], [], 0
-    yield from _counted(keys, labels)
-
-
-def _counted(keys: list, labels: list) -> Iterator[pa.RecordBatch]:
+def _gather(pairs: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        single, double, held = ([], []), ([], [], [], []), 0
+        for batch in batches:
+            label, done = batch.column(0).to_numpy(zero_copy_only=False), 0
+            for n, row, key, (row2, *names) in _expressions(batch.column(1)):
+                for to, x in zip(single, (label[done : done + n][row], key), strict=True):
+                    to.append(x)
+                if pairs:
+                    for to, x in zip(double, (label[done : done + n][row2], *names), strict=True):
+                        to.append(x)
+                done += n
+                held += len(key) + pairs * len(row2)
+                if held >= GROUP_WORDS:
+                    yield from _counted(*single)
+                    yield from _counted(*double)
+                    single, double, held = ([], []), ([], [], [], []), 0
+        yield from _counted(*single)
+        yield from _counted(*double)
+
+    return run
+
+
+def _counted(labels: list, keys: list, *parts: list) -> Iterator[pa.RecordBatch]:
     if keys:
-        key, place = np.unique(np.concatenate(keys), return_inverse=True)
+        key, at, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         toxic = np.bincount(place, np.concatenate(labels), len(key)).astype(np.int64)
         whole = np.bincount(place, minlength=len(key))
+        first, second = [np.concatenate(x)[at] for x in parts] or (key, None)
+        order = np.arange(len(key)) if second is None else np.lexsort((second, first))  # runs of a first word are stored in little space
         for low in range(0, len(key), 1 << 16):
-            part = slice(low, low + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array((whole - toxic)[part]), pa.array(toxic[part])], names=["key", "n0", "n1"])
+            part = order[low : low + (1 << 16)]
+            other = pa.nulls(len(part), pa.int64()) if second is None else pa.array(second[part])
+            yield pa.RecordBatch.from_arrays([pa.array(first[part]), other, pa.array((whole - toxic)[part]), pa.array(toxic[part])], names=["first", "second", "n0", "n1"])
+
+
+def _count(labelled: DataFrame, pairs: bool) -> DataFrame:
+    """A row for each word: key, n0, n1, and of the pairs that it begins: known (by how many classes each is known, in all), kinds, for each class total, kinds and how many are counted 1 to 4 times, and those that the toxic class knows."""
+    gathered = labelled.select((F.col("toxic") > 0).cast("int"), "text").mapInArrow(_gather(pairs), COUNTED)
+    # one exchange, by the first word, serves both sums
+    each = gathered.repartition("first").groupBy("first", "second").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    pair = F.col("second").isNotNull()
+    number = lambda which: F.sum((pair & which).cast("long"))
+    facts = [F.max(F.when(~pair, F.col(c))).alias(c) for c in ("n0", "n1")] + [number(F.lit(True)).alias("kinds"), (number(F.col("n0") > 0) + number(F.col("n1") > 0)).alias("known")]
+    for c in ("n0", "n1"):
+        facts += [F.sum(F.when(pair, F.col(c)).otherwise(0)).alias(f"{c}_total"), number(F.col(c) > 0).alias(f"{c}_kinds"), *[number(F.col(c) == k).alias(f"{c}_{k}") for k in (1, 2, 3, 4)]]
+    facts.append(F.collect_list(F.when(pair & (F.col("n1") > 0), F.struct("second", F.col("n0").alias("m0"), F.col("n1").alias("m1")))).alias("toxic"))
+    return materialize(each.groupBy(F.col("first").alias("key")).agg(*facts))
 
 
 def fit(labelled: DataFrame) -> DataFrame:
-    """key, n0, n1 from labelled (text and toxic 0/1, one row per document): in how many documents of each class an expression stands. All words of all texts are counted; the table grows with them and stays one."""
-    gathered = labelled.select((F.col("toxic") > 0).cast("int"), "text").mapInArrow(_gather, COUNTED)
-    return materialize(gathered.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    """key, n0, n1 from labelled (text and toxic 0/1, one row per document): in how many documents of each class a word stands. All words of all texts are counted; the table grows with them and stays one."""
+    return _count(labelled, False).select("key", "n0", "n1")
+
+
+def fit_both(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What fit gives, and what _count tells of the pairs of neighbouring words, all of which are counted, in one pass."""
+    both = _count(labelled, True)
+    return both.select("key", "n0", "n1"), both
 
 
 @dataclass(frozen=True)
@@ -161,14 +212,72 @@ def evidence(counts: DataFrame, model: Model) -> DataFrame:
     return counts.select("key", ratio.cast("float").alias("evidence")).filter(F.col("evidence") > model.unseen)
 
 
-def _packed(kind: pa.DataType):
-    """Groups of documents: a row with the number of distinct words of each of them, and a row for each word with the places of the documents that hold it."""
+#: Discount of the orders that both classes share, whose counts are 1 or 2: the classes that know a pair.
+SHARED_DISCOUNT = 0.5
+
+
+def pair_evidence(contexts: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
+    """key, evidence of those pairs of words that speak more for class 1 than either of their words and than an unseen one.
+
+    The second word is judged given the first: p(second | first, class) = (count - discount) / total + free * p(second | first), the last two of the first word in that class. As lower orders of Kneser-Ney do, p(second | first)
+    is the same for both classes and counts contexts, here the classes that know the pair, discounted, and below that the classes that know the second word. free differs between the classes for any second word at all, as they are not equally large, so
+    the evidence is the log ratio beyond that of a second word that neither class has met after the first. That of the first word is added, and the sum divided by the two words.
+    """
+    sums = [F.sum(f"{c}_{x}").alias(f"{c}_{x}") for c in ("n0", "n1") for x in ("total", "kinds", 1, 2, 3, 4)]
+    r = contexts.agg(*sums).first()
+    if not model.learned or not r["n1_total"]:
+        return contexts.select("key", F.lit(0.0).cast("float").alias("evidence")).limit(0)
+    discounts = [smoothing(float(r[f"{c}_total"]), [float(r[f"{c}_{k}"]) for k in (1, 2, 3, 4)], float(r[f"{c}_kinds"])).discounts for c in ("n0", "n1")]
+    cut = lambda n, d: F.when(n == 0, 0.0).when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
+    freed = [F.col(f"{c}_1") * d[0] + F.col(f"{c}_2") * d[1] + (F.col(f"{c}_kinds") - F.col(f"{c}_1") - F.col(f"{c}_2")) * d[2] for c, d in zip(("n0", "n1"), discounts, strict=True)]
+    ratio = lambda n0, n1: F.log(model.probability(1, F.col(n0), F.col(n1))) - F.log(model.probability(0, F.col(n0), F.col(n1)))
+    begun = contexts.filter(F.size("toxic") > 0).select(F.col("key").alias("first"), ratio("n0", "n1").alias("one"), "kinds", "known", freed[0].alias("freed0"), freed[1].alias("freed1"), F.explode("toxic").alias("p"))
+    met = begun.select("first", "one", "kinds", "known", "freed0", "freed1", "p.*").join(counts.withColumnRenamed("key", "second"), "second")
+    classes = (F.col("m0") > 0).cast("int") + (F.col("m1") > 0).cast("int")
+    shared = (classes - SHARED_DISCOUNT + SHARED_DISCOUNT * F.col("kinds") * model.shared(F.col("n0"), F.col("n1"))) / F.col("known")
+    # log((m - d) / total + free * shared) - log(free * shared), where free = freed / total; half a count is free at least
+    beyond = [F.when(F.col(f"m{c}") > 0, F.log1p((F.col(f"m{c}") - cut(F.col(f"m{c}"), discounts[c])) / F.greatest(F.col(f"freed{c}"), F.lit(SHARED_DISCOUNT)) / shared)).otherwise(0.0) for c in range(2)]
+    out = met.select("first", "second", ((F.col("one") + beyond[1] - beyond[0]) / 2).cast("float").alias("evidence"), F.greatest(F.col("one"), ratio("n0", "n1"), F.lit(model.unseen)).alias("least"))
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(pair_keys(*(batch.column(i).to_numpy() for i in range(2)))), batch.column(2)], names=["key", "evidence"])
+
+    return out.filter(F.col("evidence") > F.col("least")).select("first", "second", "evidence").mapInArrow(named, "key long, evidence float")
+
+
+#: Bits of the filter that keeps pairs of no evidence from being shuffled; its size is fixed, so the more such pairs there are, the more others pass it.
+SIEVE_BITS = 23
+
+
+def _sieve(known: DataFrame) -> np.ndarray:
+    """Bits of the keys of known, from a part of them by each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << SIEVE_BITS, bool)
+        for batch in batches:
+            bits[_sieve_place(batch.column(0).to_numpy())] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+    bits = np.zeros(1 << SIEVE_BITS, bool)
+    for r in known.select("key").coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
+        bits |= np.unpackbits(np.frombuffer(r.bits, np.uint8)).astype(bool)
+    return bits
+
+
+def _sieve_place(key: np.ndarray) -> np.ndarray:
+    return (key.view(np.uint64) >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)
+
+
+def _packed(kind: pa.DataType, sieve=None):
+    """Groups of documents: a row with the number of distinct words of each of them, and a row for each word with the places of the documents that hold it. With a broadcast sieve also for each pair of words that passes it."""
     names = ["key", "group", "places", "doc_id", "words"]
     shapes = [pa.int64(), pa.int64(), pa.binary(), pa.list_(kind), pa.list_(pa.int64())]
 
-    def flush(group: int, ids: list, rows: int, places: list, keys: list) -> Iterator[pa.RecordBatch]:
-        place, key = np.concatenate(places), np.concatenate(keys)
+    def flush(group: int, ids: list, rows: int, places: list, keys: list, places2: list, keys2: list) -> Iterator[pa.RecordBatch]:
+        place = np.concatenate(places)
         base = [[None], [group], [None], [pa.chunked_array(ids, kind).to_pylist()], [np.bincount(place, minlength=rows)]]
+        place, key = np.concatenate([place, *places2]), np.concatenate([*keys, *keys2])
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(base, shapes, strict=True)], names=names)
         order = np.argsort(key, kind="stable")
         place, key = place[order].astype(np.uint16), key[order]
@@ -181,17 +290,22 @@ def _packed(kind: pa.DataType):
             yield pa.RecordBatch.from_arrays([pa.array(key[a]), pa.array(np.full(len(a), group)), packed, *(pa.nulls(len(a), t) for t in shapes[3:])], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows, held, parts = TaskContext.get().partitionId() << 32, 0, 0, ([], [], [])
+        group, rows, held, parts = TaskContext.get().partitionId() << 32, 0, 0, ([], [], [], [], [])
         for batch in batches:
             for low in range(0, batch.num_rows, GROUP_ROWS // 64):
                 piece = batch.slice(low, GROUP_ROWS // 64)
                 if rows and (held >= GROUP_WORDS or rows + piece.num_rows > GROUP_ROWS):
                     yield from flush(group, parts[0], rows, *parts[1:])
-                    group, rows, held, parts = group + 1, 0, 0, ([], [], [])
+                    group, rows, held, parts = group + 1, 0, 0, ([], [], [], [], [])
                 parts[0].append(piece.column(0))
-                for n, row, key in _pairs(piece.column(1)):
+                for n, row, key, (row2, key2, *_) in _expressions(piece.column(1)):
                     parts[1].append((row + rows).astype(np.int32))
                     parts[2].append(key)
+                    if sieve is not None:
+                        some = sieve.value[_sieve_place(key2)]
+                        parts[3].append((row2[some] + rows).astype(np.int32))
+                        parts[4].append(key2[some])
+                        held += len(parts[4][-1])
                     rows += n
                     held += len(key)
             _text.release()
@@ -268,15 +382,17 @@ def _joined(unseen: float):
     return run
 
 
-def strongest(docs: DataFrame, known: DataFrame, unseen: float = 0.0) -> DataFrame:
-    """doc_id, words (the number of distinct ones) and strongest, the most evidence of known (key, evidence) among a document's words; unseen, if it holds none.
+def strongest(docs: DataFrame, known: DataFrame, unseen: float = 0.0, pairs: DataFrame | None = None) -> DataFrame:
+    """doc_id, words (the number of distinct ones) and strongest, the most evidence of known (key, evidence) among a document's words, and of pairs (likewise) among its pairs of neighbours; unseen, if it holds none.
 
     Words meet the table by key, each once for a group of documents that hold it; neither side is broadcast unless Spark finds it small. A word that is
     nearly everywhere has as many rows as there are groups, and the maximum needs no order.
     """
     kind = docs.schema["doc_id"].dataType
     lists = f"doc_id array<{kind.simpleString()}>, words array<long>"
-    packed = docs.select("doc_id", "text").mapInArrow(_packed(to_arrow_type(kind)), f"key long, group long, places binary, {lists}")
+    sieve = docs.sparkSession.sparkContext.broadcast(_sieve(pairs)) if pairs is not None else None
+    known = known.unionByName(pairs) if pairs is not None else known
+    packed = docs.select("doc_id", "text").mapInArrow(_packed(to_arrow_type(kind), sieve), f"key long, group long, places binary, {lists}")
     # a row of documents has no key of its own: one by its group sends these rows to different tasks
     base = F.col("key").isNull()
     packed = packed.withColumn("base", base).withColumn("key", F.coalesce("key", F.xxhash64("group")))
@@ -309,7 +425,7 @@ def calibrate(features: np.ndarray, label: np.ndarray) -> np.ndarray:
 def score(docs: DataFrame, labels: DataFrame, learn=lambda doc_id: F.lit(True)) -> DataFrame:
     """doc_id, score, words, strongest: one row per row of docs.
 
-    Expressions are words. Rare ones tell, and a text's mean over all its words dilutes them, so a text is judged by the log ratio of its strongest expression, and by its length, since the strongest of
+    Expressions are words and pairs of neighbouring words. Rare ones tell, and a text's mean over all its words dilutes them, so a text is judged by the log ratio of its strongest expression, and by its length, since the strongest of
     many words is large by chance. The words' counts are numbers of documents; in each class they are discounted, and what that frees goes to the counts that both classes share.
 
     learn(column of doc_id) tells which labelled documents may be learned from. Their labels are joined by doc_id; the text of other documents takes
@@ -320,9 +436,9 @@ def score(docs: DataFrame, labels: DataFrame, learn=lambda doc_id: F.lit(True))
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learn(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counted = docs.select("doc_id", "text").filter(learn(F.col("doc_id")) & (part != 0) & F.col("text").isNotNull())
     # by the same kind of join at any size: labels grow with the documents, so they are no table to broadcast
-    counts = fit(counted.hint("merge").join(known.filter(part != 0), "doc_id"))
+    counts, pairs = fit_both(counted.hint("merge").join(known.filter(part != 0), "doc_id"))
     model = estimate(counts)
-    found = materialize(strongest(docs, evidence(counts, model), model.unseen))
+    found = materialize(strongest(docs, evidence(counts, model), model.unseen, materialize(pair_evidence(pairs, counts, model))))
     held = found.join(known.filter(part == 0), "doc_id")
     share = CALIBRATION_ROWS / max(1, held.count())
     if share < 1:

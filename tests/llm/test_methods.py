@@ -272,6 +272,75 @@ def test_smoothed_models_are_distributions(spark):
         assert got[999][1] == got[1000][1] == 0 and got[1001][1] == 2 and all(got[i][1] == len(set(t.split())) for i, (t, _) in enumerate(rows))
 
 
+def plain_pair_evidence(rows, ratios):
+    """Evidence of pairs of words by the formulas, from rows (text, label) and the log ratios of words; those that exceed both words and an unseen one."""
+    counts, known = [{}, {}], {}
+    for text, label in rows:
+        w = re.findall(r"[^\W\d_]+", text.lower())
+        for x in w:
+            known.setdefault(x, set()).add(label)
+        for pair in set(zip(w, w[1:])):
+            counts[label][pair] = counts[label].get(pair, 0) + 1
+    every = set(counts[0]) | set(counts[1])
+    cuts = []
+    for own in counts:
+        of = [sum(n == k for n in own.values()) for k in range(5)]
+        rate = of[1] / (of[1] + 2 * of[2]) if of[1] and of[2] else 0.75
+        cuts.append(lambda n, of=of, rate=rate: 0 if not n else (lambda k: min(k, max(0, k - (k + 1) * rate * of[k + 1] / of[k])) if of[k] else k / 2)(min(n, 3)))
+    after, contexts = {}, sum(len(x) + 1 for x in known.values()) + 1
+    for v, w in every:
+        after.setdefault(v, []).append((v, w))
+    know = lambda p: (p in counts[0]) + (p in counts[1])
+    out = {}
+    for v, w in counts[1]:
+        shared = (know((v, w)) - 0.5 + 0.5 * len(after[v]) * (len(known[w]) + 1) / contexts) / sum(map(know, after[v]))
+        n = [own.get((v, w), 0) for own in counts]
+        beyond = [np.log1p((n[c] - cuts[c](n[c])) / max(0.5, sum(cuts[c](counts[c].get(p, 0)) for p in after[v])) / shared) if n[c] else 0 for c in range(2)]
+        found = (ratios[v] + beyond[1] - beyond[0]) / 2
+        if found > max(ratios[v], ratios[w], ratios[None]) + 1e-6:
+            out[v, w] = found
+    return out
+
+
+def test_pairs_of_words_are_judged_given_the_first(spark):
+    r = random.Random(6)
+    usual = [a + b for a in "bcdfgl" for b in ("ata", "eno", "iru")]
+    rows = [(" ".join([*(r.choice(usual) for _ in range(r.randint(0, 12))), *(["zet", "mog"] if i % 3 == 0 else ["mog", "bata", "zet"])]), int(i % 3 == 0)) for i in range(150)]
+    _, ratios = plain_models(rows)
+    expected = plain_pair_evidence(rows, ratios)
+    labelled = spark.createDataFrame([(i, t, y) for i, (t, y) in enumerate(rows)], "doc_id long, text string, toxic int")
+    counts, pairs = toxicity.fit_both(labelled)
+    assert {tuple(x) for x in counts.collect()} == {tuple(x) for x in toxicity.fit(labelled).collect()}
+    model = toxicity.estimate(counts)
+    found = toxicity.pair_evidence(pairs, counts, model)
+    hashes = {w: next(toxicity.words(pa.array([w])))[3] for w in ratios if w}
+    key = lambda v, w: int(toxicity.pair_keys(hashes[v], hashes[w])[0])
+    assert ("zet", "mog") in expected and {x.key: x.evidence for x in found.collect()} == {key(*p): pytest.approx(x, abs=1e-5) for p, x in expected.items()}
+    # and in the texts: neighbours in their order, none across texts
+    docs = spark.createDataFrame([(0, "Zet, MOG"), (1, "mog zet"), (2, "zet"), (3, "mog"), (4, None)], "doc_id long, text string")
+    for parts in (1, 5):
+        got = {x.doc_id: x.strongest for x in toxicity.strongest(docs.repartition(parts), toxicity.evidence(counts, model), model.unseen, found).collect()}
+        of = lambda *w: max(ratios[None], *(ratios[x] for x in w))
+        expect = {0: expected["zet", "mog"], 1: max(of("zet", "mog"), expected.get(("mog", "zet"), -99)), 2: of("zet"), 3: of("mog"), 4: ratios[None]}
+        assert got == {i: pytest.approx(x, abs=1e-5) for i, x in expect.items()}
+
+
+def test_an_expression_of_two_ordinary_words_is_found(spark):
+    """Both words are as frequent in either class; only their order is toxic."""
+    r = random.Random(12)
+    usual = [a + b + c for a in "bcdfgl" for b in ("ata", "eno", "iru") for c in ("", "s", "n")]
+    rows = []
+    for i in range(900):
+        toxic, text = i % 5 == 0, [r.choice(usual) for _ in range(40)]
+        at = r.randrange(38)
+        text[at : at + 2] = ["zet", "mog"] if toxic else ["mog", "zet"]
+        rows.append((i, " ".join(text), int(toxic)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    found = toxicity.score(table.select("doc_id", "text"), table.select("doc_id", "toxic"), lambda c: langid.fold(c, 3) != 1).collect()
+    held = [x for x in found if __import__("zlib").crc32(str(x.doc_id).encode()) % 3 == 1]
+    assert np.mean([(x.score >= 0.7) == rows[x.doc_id][2] for x in held]) > 0.95
+
+
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
 def test_toxicity_ranks_held_out_documents(spark, sf):
     import zlib
