@@ -21,6 +21,8 @@ SPACES = np.zeros(256, dtype=bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
 #: Texts of a batch are worked on in slices of about so many bytes, which bounds a worker's memory.
 SLICE_BYTES = 1 << 20
+#: append() hands on a batch in parts of about so many bytes of text.
+PART_BYTES = 4 << 20
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +169,10 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def append(docs, text: str, added: str, function):
-    """docs with columns that function(text array) -> list of arrays gives; added: their DDL. Other columns pass through as one struct, whatever their names; columns of docs by the added names are replaced."""
+    """docs with columns that function(text array) -> list of arrays gives; added: their DDL. Other columns pass through as one struct, whatever their names; columns of docs by the added names are replaced.
+
+    The function gets a part of a batch at a time, so a worker never holds what it makes of a whole batch.
+    """
     from pyspark.sql import functions as F
     from pyspark.sql.types import StructType
 
@@ -179,7 +184,9 @@ def append(docs, text: str, added: str, function):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), *function(batch.column(0).field(place))], names=[row, *new.names])
+            for first, last in slices(utf8(batch.column(0).field(place))[1], PART_BYTES):
+                part = batch.column(0).slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([part, *function(part.field(place))], names=[row, *new.names])
             release()
 
     schema = StructType([packed.schema[row], *new.fields])

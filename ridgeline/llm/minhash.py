@@ -155,13 +155,16 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     Each round takes the smallest label among neighbours, then the label's own label, so the distance to
     the smallest id at least halves along chains; it ends when no label changes. labels: a start from earlier links.
     """
-    edges = materialize(links.select("a", "b").union(links.select("b", "a")).distinct())
-    ids = edges.select(F.col("a").alias("id")).distinct()
-    own = ids.select("id", F.col("id").alias("component"))
+    links = links.select("a", "b")
     if labels is not None:
-        own = own.union(labels.select("id", "component")).groupBy("id").agg(F.min("component").alias("component"))
         # whoever has a start label is linked to the id that gave it
-        edges = materialize(edges.union(labels.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))).union(labels.filter("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))))
+        links = links.union(labels.filter("id <> component").select("id", "component"))
+    # links come from joins of whole sets, so both directions are made of one pass over them
+    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    edges = materialize(links.select(both.alias("e")).select("e.a", "e.b").distinct())
+    own = edges.select(F.col("a").alias("id")).distinct().select("id", F.col("id").alias("component"))
+    if labels is not None:
+        own = own.union(labels.select("id", "component")).groupBy("id").agg(F.min("component").alias("component"))
     own = materialize(own)
     while True:
         near = edges.join(own.withColumnsRenamed({"id": "b", "component": "c"}), "b").select(F.col("a").alias("id"), F.col("c").alias("component"))

@@ -642,3 +642,33 @@ def test_texts_under_one_doc_id_are_documents_of_their_own(spark):
         assert found in (["a", "b", "e", "f", "g", "h"], ["b", "c", "e", "f", "g", "h"])
         assert parts == 1 or found == before
         before = found
+
+
+@pytest.mark.parametrize("start", [False, True])
+def test_links_are_computed_once(spark, start):
+    seen = spark.sparkContext.accumulator(0)
+    pairs = [(k, k + 1) for k in range(1, 9)] + [(20, 21), (30, 29)]
+
+    def run(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    links = spark.createDataFrame(pairs, "a long, b long").mapInArrow(run, "a long, b long")
+    labels = spark.createDataFrame([(5, 5), (20, 5), (40, 40), (41, 40)], "id long, component long") if start else None
+    found = {r.id: r.component for r in minhash.components(links, labels).collect()}
+    assert found == dict.fromkeys(range(1, 10), 1) | ({20: 1, 21: 1, 40: 40, 41: 40} if start else {20: 20, 21: 20}) | {29: 29, 30: 29}
+    assert seen.value == len(pairs)
+
+
+def test_columns_are_appended_a_part_of_a_batch_at_a_time(spark):
+    texts = [None if k % 7 == 3 else chr(97 + k % 26) * (k * 9_001) for k in range(60)] + ["z" * (_text.PART_BYTES + 5), "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+
+    def sizes(column):
+        held = int(_text.utf8(column)[1][-1])
+        return [pa.array([None if v is None else len(v) for v in column.to_pylist()], pa.int64()), pa.array([held] * len(column), pa.int64())]
+
+    rows = _text.append(docs, "text", "size long, held long", sizes).collect()
+    assert [(r.id, r.text, r.size) for r in rows] == [(k, t, None if t is None else len(t)) for k, t in enumerate(texts)]
+    assert max(r.held for r in rows) <= _text.PART_BYTES + 5
