@@ -230,6 +230,33 @@ def test_kernel_descent_stores_no_kernel_matrix(spark, data, small, monkeypatch)
     assert kernel.kernel_fold(rows.limit(0), steps).t == 0
 
 
+@pytest.mark.parametrize("name", ["kernel_rbf", "kernel_sqdist", "lambda_matrix", "kernel_linear"])
+def test_tasks_of_a_kernel_matrix_do_not_grow_with_the_square_of_partitions(spark, data, name):
+    """A product of 90 by 90 partitions is 8100 tasks, for one tile of 500 rows."""
+    settings = {"spark.sql.shuffle.partitions": "90", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = queries.queries()[name](spark, data)
+        assert found.rdd.getNumPartitions() <= 100 and found.select("i", "j").distinct().count() == found.count() == 500 * 500
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_cells_are_rounded_as_the_sql_rounds(spark):
+    """Halves go away from zero, zeros have no sign, and what has no six digits stays."""
+    rng = np.random.default_rng(4)
+    values = [0.0, -0.0, 0.5e-6, 1.5e-6, 2.5e-6, -0.5e-6, -2.5e-6, 0.49999999999999994e-6, 0.1234565, -0.1, 0.1234575, 4503599627.370497, 1e300, 1e303, -1e303, float("inf"), float("-inf"), *rng.normal(size=3000), *(rng.integers(-(10**7), 10**7, 3000) + 0.5) / 1e6]
+    rows = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, v double")
+    found = [r.k for r in rows.select("i", queries._cell(F.col("v")).alias("k")).orderBy("i").collect()]
+    expected = [duckdb.execute("SELECT round(?::DOUBLE, 6) + 0.0", [float(v)]).fetchone()[0] for v in values]
+    assert np.array(found).tobytes() == np.array(expected).tobytes()
+    assert np.isnan(spark.range(1).select(queries._cell(F.lit(float("nan"))).alias("k")).first().k)
+    assert spark.range(1).select(queries._cell(F.lit(None).cast("double")).alias("k")).first().k is None
+
+
 @pytest.mark.parametrize("columns", [None, 60, 25])
 def test_a_large_tile_is_made_in_parts(small, monkeypatch, columns):
     """However many cells a pair of tiles has, STRIP_BYTES of them are made at a time; rows can meet the whole matrix, in tasks of their own."""
