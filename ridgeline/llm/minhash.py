@@ -120,7 +120,8 @@ def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = list(shingle_sets(batch.column(1), words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, found), pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "n", "shingles"])
+            own = [batch.column(0), pa.array(map(len, found), pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*own, *batch.columns[2:]], names=["id", "n", "shingles", *batch.schema.names[2:]])
 
     return run
 
@@ -153,7 +154,7 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """id, component (smallest id reachable) for every id in a link (a, b).
 
     Each round takes the smallest label among neighbours, then the label's own label, so the distance to
-    the smallest id at least halves along chains; it ends when no label changes. labels: a start from earlier links.
+    the smallest id at least halves along chains; it ends when no neighbour has a smaller label. labels: a start from earlier links.
     """
     links = links.select("a", "b")
     if labels is not None:
@@ -161,23 +162,23 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         links = links.union(labels.filter("id <> component").select("id", "component"))
     # links come from joins of whole sets, so both directions are made of one pass over them
     both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
-    edges = materialize(links.select(both.alias("e")).select("e.a", "e.b").distinct())
-    own = edges.select(F.col("a").alias("id")).distinct().select("id", F.col("id").alias("component"))
+    edges = materialize(links.select(both.alias("e")).select("e.a", "e.b"))
+    own = edges.groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("component"))
     if labels is not None:
         own = own.union(labels.select("id", "component")).groupBy("id").agg(F.min("component").alias("component"))
     own = materialize(own)
     while True:
-        near = edges.join(own.withColumnsRenamed({"id": "b", "component": "c"}), "b").select(F.col("a").alias("id"), F.col("c").alias("component"))
-        least = near.union(own).groupBy("id").agg(F.min("component").alias("component"))
+        near = edges.join(own.withColumnsRenamed({"id": "b", "component": "c"}), "b").select(F.col("a").alias("id"), F.col("c").alias("component"), F.lit(None).cast("long").alias("was"))
+        least = near.union(own.select("id", "component", F.col("component").alias("was"))).groupBy("id").agg(F.min("component").alias("component"), F.max("was").alias("was"))
         least = materialize(least)
+        if not least.filter("component <> was").limit(1).count():
+            discard(least)
+            return own
         jump = least.select(F.col("id").alias("component"), F.col("component").alias("c"))
         jumped = materialize(least.join(jump, "component", "left").select("id", F.least("component", "c").alias("component")))
-        changed = own.withColumnRenamed("component", "was").join(jumped, "id").filter("was <> component").limit(1).count()
         discard(own)
         discard(least)
         own = jumped
-        if not changed:
-            return own
 
 
 @tidied
@@ -188,32 +189,31 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     2. Classes that share a band are candidates. In each bucket every member is first verified against three
        representatives (smallest id, and the extremes of a hash), which is linear in the bucket and joins groups of near copies.
     3. In buckets whose members are not of one component by then, all pairs of different components are compared, in blocks of sets that
-       return links only. No pair of a bucket is left out, no bucket is capped.
+       return which components are linked only. No pair of a bucket is left out, no bucket is capped.
     Empty sets (no words, null text) and rows without doc_id are linked with nothing; the latter get a null component_id and are kept.
     Rows that share a doc_id are one document with several texts. Other columns of docs are not read.
     """
     fp = materialize(fingerprints(docs, words))
     usable = fp.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = materialize(usable.groupBy("key").agg(F.min("doc_id").alias("id")))
-    reps = usable.withColumnRenamed("doc_id", "id").join(classes, ["key", "id"], "left_semi")
-    sketch = [F.col("sketch")[i].alias(f"s{i}") for i in range(4)]
-    reps = reps.select("id", F.col("n_shingles").alias("n"), *sketch, "bands")
+    first = F.min_by(F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), *[F.col("sketch")[i].alias(f"s{i}") for i in range(4)], "bands"), "doc_id")
+    classes = materialize(usable.groupBy("key").agg(first.alias("first")).select("key", "first.*"))
+    reps = classes.drop("key")
     members = reps.select("id", F.explode("bands").alias("band"))
     order = F.xxhash64("id")
     buckets = members.groupBy("band").agg(F.min("id").alias("r0"), F.min_by("id", order).alias("r1"), F.max_by("id", order).alias("r2"), F.max("id").alias("last"))
-    buckets = materialize(buckets.filter("r0 <> last").drop("last"))
-    shared = materialize(members.join(buckets, "band"))
-    facts = materialize(reps.drop("bands").join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
+    shared = materialize(members.join(buckets.filter("r0 <> last").drop("last"), "band"))
+    sketches = reps.drop("n", "bands").join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     # the texts of whoever has a candidate move once, at any size by the same kind of join
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").hint("merge").join(facts.select("id"), "id", "left_semi")
-    sets = materialize(texts.mapInArrow(_sets(words), "id long, n long, shingles binary"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").hint("merge").join(sketches, "id")
+    sets = materialize(texts.mapInArrow(_sets(words), "id long, n long, shingles binary, s0 long, s1 long, s2 long, s3 long"))
     stars = shared.select(F.col("id"), F.explode(F.array_distinct(F.array("r0", "r1", "r2"))).alias("r")).filter("id <> r")
     stars = stars.select(F.least("id", "r").alias("a"), F.greatest("id", "r").alias("b")).distinct()
-    tested = materialize(_possible(stars, facts, percent))
+    tested = materialize(_possible(stars, sets, percent))
     labels = components(verify(tested, sets, percent))
     placed = materialize(shared.select("band", "id").join(labels, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component")))
-    labels = components(_across(placed, sets, percent), labels)
-    named = classes.join(labels, "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))
+    merged = components(_across(placed, sets, percent).distinct()).select(F.col("id").alias("component"), F.col("component").alias("merged"))
+    named = classes.select("key", "id").join(labels, "id", "left").select("key", F.coalesce("component", "id").alias("component"))
+    named = named.join(merged, "component", "left").select("key", F.coalesce("merged", "component").alias("component_id"))
     # rows of one doc_id with several texts are in the component of the smallest
     named = materialize(named)
     out = fp.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("key")).alias("key")).join(named, "key", "left")
@@ -222,15 +222,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 
 def _across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between different components within the buckets of placed (band, id, component).
+    """Which different components are linked within the buckets of placed (band, id, component): a, b.
 
     A bucket goes to the group of its largest component, so the many buckets of a group of near copies are one group and a set moves once for it. In a group, sets
     of other components are compared to all; both sides are dealt out in blocks, so no task holds a group.
     """
     per = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
     top = per.groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("kinds")).filter("kinds > 1")
-    top = materialize(top.select("band", F.col("top.component").alias("g")))
-    met = materialize(placed.join(top, "band").select("g", "id", "component").distinct())
+    met = materialize(placed.join(top.select("band", F.col("top.component").alias("g")), "band").select("g", "id", "component").distinct())
     blocks = met.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("all"), F.ceil(F.sum((F.col("component") != F.col("g")).cast("int")) / BLOCK).cast("int").alias("others"))
     rows = materialize(met.join(blocks, "g")).join(sets.select("id", "shingles"), "id")
     spread = lambda over: F.pmod(F.xxhash64("id"), F.col(over)).cast("int")
@@ -241,30 +240,29 @@ def _across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     y = rows.select(F.col("g").alias("g"), every("others").alias("i"), spread("all").alias("j"), *own)
 
     def compare(key, x: pa.Table, y: pa.Table) -> pa.Table:
-        links: list[tuple[np.ndarray, np.ndarray]] = []
+        links: set[tuple[int, int]] = set()
         if len(x) and len(y):
             a, b = list(_shingles(x["shingles"])), list(_shingles(y["shingles"]))
             codes, sizes = np.unique(np.concatenate(b), return_inverse=True), np.array([len(s) for s in b])
             starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
             known, codes = codes
-            ids, others = y["id"].to_numpy(), y["component"].to_numpy()
-            for s, own, component in zip(a, x["id"].to_numpy(), x["component"].to_numpy(), strict=True):
+            others = y["component"].to_numpy()
+            for s, component in zip(a, x["component"].to_numpy().tolist(), strict=True):
                 at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                 held = np.zeros(len(known), bool)
                 held[at[known[at] == s]] = True
                 shared = np.add.reduceat(held[codes], starts, dtype=np.int64)
                 near = (100 * shared >= percent * (len(s) + sizes - shared)) & (others != component)
-                if near.any():
-                    links.append((np.minimum(ids[near], own), np.maximum(ids[near], own)))
-        a, b = (np.concatenate(c) for c in zip(*links, strict=True)) if links else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                links.update((min(component, other), max(component, other)) for other in set(others[near].tolist()))
+        a, b = zip(*sorted(links), strict=True) if links else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return x.groupBy(*key).cogroup(y.groupBy(*key)).applyInArrow(compare, "a long, b long")
 
 
-def _possible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that sizes and sketches do not rule out."""
-    a, b = (facts.select(F.col("id").alias(i), *[F.col(c).alias(f"{i}_{c}") for c in ("n", "s0", "s1", "s2", "s3")]) for i in "ab")
+    a, b = (sets.select(F.col("id").alias(i), *[F.col(c).alias(f"{i}_{c}") for c in ("n", "s0", "s1", "s2", "s3")]) for i in "ab")
     out = pairs.join(a, "a").join(b, "b")
     apart = sum((F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(1, 4)), F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))))
     return out.filter((100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (apart <= SKETCH_APART)).select("a", "b")

@@ -672,3 +672,23 @@ def test_columns_are_appended_a_part_of_a_batch_at_a_time(spark):
     rows = _text.append(docs, "text", "size long, held long", sizes).collect()
     assert [(r.id, r.text, r.size) for r in rows] == [(k, t, None if t is None else len(t)) for k, t in enumerate(texts)]
     assert max(r.held for r in rows) <= _text.PART_BYTES + 5
+
+
+def test_links_of_buckets_are_pairs_of_components(spark):
+    """What a group of near copies hands on does not grow with its pairs of sets, and few tables are written for it."""
+    shingles = {k: np.sort(np.arange(100, dtype=np.uint64) + np.uint64(k % 3)) for k in range(12)} | {k: np.arange(100, dtype=np.uint64) + np.uint64(1000) for k in (20, 21)}
+    component = {k: 0 if k < 6 else 6 for k in range(12)} | {20: 20, 21: 21}
+    sets = spark.createDataFrame([(k, 100, bytearray(s.tobytes())) for k, s in shingles.items()], "id long, n long, shingles binary")
+    placed = spark.createDataFrame([(band, k, c) for band in (1, 2) for k, c in component.items()], "band long, id long, component long")
+    assert {tuple(r) for r in minhash._across(placed, sets, 80).collect()} == {(0, 6), (20, 21)}
+
+
+def test_near_duplicates_writes_few_tables(spark, monkeypatch):
+    written, write = [], minhash.materialize
+    monkeypatch.setattr(minhash, "materialize", lambda df: written.append(df.columns) or write(df))
+    words = [f"w{k}" for k in range(120)]
+    texts = [" ".join([*words[:119], f"x{k}"]) for k in range(20)] + [" ".join(words[k:] + words[:k]) for k in (60, 61)] + ["alone", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, 4).collect()}
+    assert found == brute_components(["" if t is None else t for t in texts], 4)
+    assert len(written) <= 18, written
