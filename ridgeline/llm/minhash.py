@@ -261,11 +261,11 @@ def _across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that sizes and sketches do not rule out."""
+    """Pairs (a, b) that sizes and sketches do not rule out, each once, however many rows of sets share an id."""
     a, b = (sets.select(F.col("id").alias(i), *[F.col(c).alias(f"{i}_{c}") for c in ("n", "s0", "s1", "s2", "s3")]) for i in "ab")
     out = pairs.join(a, "a").join(b, "b")
     apart = sum((F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(1, 4)), F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))))
-    return out.filter((100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (apart <= SKETCH_APART)).select("a", "b")
+    return out.filter((100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (apart <= SKETCH_APART)).select("a", "b").distinct()
 
 
 @tidied

@@ -692,3 +692,10 @@ def test_near_duplicates_writes_few_tables(spark, monkeypatch):
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, 4).collect()}
     assert found == brute_components(["" if t is None else t for t in texts], 4)
     assert len(written) <= 18, written
+
+
+def test_pairs_of_repeated_ids_are_verified_once(spark):
+    """Rows that share a doc_id all come back from the join to their sets; a pair kept once for each of them would meet them all again."""
+    sets = spark.createDataFrame([(k, 10, 0, 0, 0, 0) for k in (1, 2) for _ in range(5)], "id long, n long, s0 long, s1 long, s2 long, s3 long")
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    assert [tuple(r) for r in minhash._possible(pairs, sets, 80).collect()] == [(1, 2)]
