@@ -257,6 +257,27 @@ def test_cells_are_rounded_as_the_sql_rounds(spark):
     assert spark.range(1).select(queries._cell(F.lit(None).cast("double")).alias("k")).first().k is None
 
 
+def test_strips_of_the_whole_matrix_are_narrow(small, monkeypatch):
+    """A strip as wide as the matrix takes all ids in turn, which Parquet stores in many bits each; a narrow one names few."""
+    x, _, rows = small
+    monkeypatch.setattr(kernel, "TILE_ROWS", 16)
+    found = kernel.kernel_strips(rows, "rbf", 1.0, 11, 60).collect()
+    assert max(len(r.ids) for r in found) == 16 and len({(r.i, j) for r in found for j in r.ids}) == sum(len(r.values) for r in found) == 3600
+    cells = {(r.i, j): v for r in found for j, v in zip(r.ids, r.values, strict=True)}
+    assert np.allclose([[cells[i, j] for j in range(60)] for i in range(60)], np.exp(-((x[:, None] - x[None]) ** 2).sum(-1) / 2)) and all(cells[i, i] == 1.0 for i in range(60))
+
+
+def test_the_whole_matrix_is_met_in_parts_that_can_be_held(spark, data, monkeypatch):
+    expected = sorted(queries.queries()["kernel_unblocked"](spark, data).collect())
+    made = kernel.kernel_cells
+    asked = []
+    monkeypatch.setattr(kernel, "kernel_cells", lambda *a: asked.append(a[-2:]) or made(*a))
+    monkeypatch.setattr(kernel, "HELD_BYTES", 8 * queries.FEATURES * 150)
+    monkeypatch.setattr(kernel, "TILE_ROWS", 1)
+    assert sorted(queries.queries()["kernel_unblocked"](spark, data).collect()) == expected and len(expected) == 500 * 500
+    assert asked == [(16, 150)]
+
+
 @pytest.mark.parametrize("columns", [None, 60, 25])
 def test_a_large_tile_is_made_in_parts(small, monkeypatch, columns):
     """However many cells a pair of tiles has, STRIP_BYTES of them are made at a time; rows can meet the whole matrix, in tasks of their own."""
