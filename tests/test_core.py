@@ -245,6 +245,20 @@ def test_tasks_of_a_kernel_matrix_do_not_grow_with_the_square_of_partitions(spar
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
+def test_tasks_of_rows_that_meet_the_whole_matrix_do_not_grow_with_its_partitions(spark, data):
+    """16 partitions of rows by 90 of one tile of columns are 1440 tasks."""
+    settings = {"spark.sql.shuffle.partitions": "90", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = queries.queries()["kernel_unblocked"](spark, data)
+        assert found.rdd.getNumPartitions() <= 160 and found.select("i", "j").distinct().count() == found.count() == 500 * 500
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def test_cells_are_rounded_as_the_sql_rounds(spark):
     """Halves go away from zero, zeros have no sign, and what has no six digits stays."""
     rng = np.random.default_rng(4)
